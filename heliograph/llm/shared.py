@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     and lets later stages read it again after executors are lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,3 +57,27 @@ def bind(value: Column, body) -> Column:
     an array that its lambda looks into has to be a lambda variable itself.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_shipped: set[str] = set()
+
+
+def python_workers(spark: SparkSession, rows: int = 2000) -> None:
+    """Make ready for Python functions on executors.
+
+    Executors get this package from the driver, once for an application. Arrow
+    batches get fewer rows than Spark's default, so that a batch of long texts
+    stays small; a value that the session has set itself stays.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).parents[1]
+        target = Path(tempfile.mkdtemp(prefix="heliograph-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(target))
+        _shipped.add(sc.applicationId)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
