@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, quality_rules, sharding, simhash, token_binary, toxicity
+from . import decontamination, html_extraction, language_id, lm_scoring, packing, quality_rules, sharding, simhash, token_binary, toxicity
 from .shared import held_out_fold, table
 
 
@@ -53,9 +53,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.per_row(out).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.katz_scores(docs.withColumn("held_out", held_out_fold(F.col("doc_id")) == 1), "held_out")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_language_id, op4_packing, op5_token_binary, op6_quality_rules, op8_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_language_id, op4_packing, op5_token_binary, op6_quality_rules, op7_html_extraction, op8_decontamination, op9_lm_scoring, op10_simhash)}
