@@ -51,16 +51,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (signed long)."""
+    """doc_id, k (hash of id and text), fp (signed long)."""
     python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = [fingerprint(t, shingle, seed) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp, pa.int64())], ["doc_id", "k", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, k long, fp long")
 
 
 def correlated_groups(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -277,18 +277,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, tau: int = 3, shingle: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the least id that is reachable over links)."""
+    """doc_id, k, fp, root (least fingerprint of the component), component_id (the least id that is reachable over links)."""
     marks = written(fingerprints(docs, shingle=shingle, seed=seed, doc_id=doc_id, text=text), "fingerprints")
     classes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes.select("fp"), tau))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marks.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marks.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "k", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one document, of the least id, for each component; repeated rows of it go, and rows without an id stay."""
-    keep = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__d")).distinct()
-    # Rows that share the kept id but not the text are told apart by taking one row of each id.
-    kept = docs.where(F.col(doc_id).isNotNull()).join(keep, F.col(doc_id) == F.col("__d"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    """docs with one row for each component: of its least id, or with a null id if it has no other."""
+    rows = near_duplicates(docs, doc_id=doc_id, text=text, **options).groupBy("root", "doc_id", "k").count()
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "count")).alias("x"))
+    keep = first.select(F.col("x.doc_id").alias("__d"), F.col("x.k").alias("__k"), F.col("x.count").alias("__n"))
+    found = docs.join(keep, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(F.col(doc_id), F.col(text)) == F.col("__k")))
+    # Only of fully repeated rows is more than one left.
+    once = found.where("__n = 1").select(docs.columns)
+    return once.unionByName(found.where("__n > 1").dropDuplicates(["__d", "__k"]).select(docs.columns))

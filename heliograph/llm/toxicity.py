@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .shared import python_workers, held_out_fold
 
@@ -140,21 +141,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def score(docs: DataFrame, machine: Machine, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score of every document."""
+def scored(docs: DataFrame, machine: Machine, name: str, *, text: str = "text") -> DataFrame:
+    """docs with the score in a further column `name`."""
     python_workers(docs.sparkSession)
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Buckets(machine.index, machine.bits)
         for batch in batches:
-            found = [[*rows_of(t, known)] for t in batch.column(1).to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            found = [[*rows_of(t, known)] for t in batch.column(at).to_pylist()]
+            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
             x = np.array([i for f in found for i in f], np.int64)
-            raw, _ = _raw(machine.bias, machine.w, machine.v, at, x, len(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(raw), pa.float64())], ["doc_id", "score"])
+            raw, _ = _raw(machine.bias, machine.w, machine.v, owner, x, len(found))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_sigmoid(raw), pa.float64())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+def score(docs: DataFrame, machine: Machine, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, score of every document."""
+    return scored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), machine, "score").select("doc_id", "score")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, most_per_class: int = 8000, folds: int = 5, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
@@ -176,3 +182,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, train_docs: DataFrame | None
     """doc_id, score in 0 to 1, predicted (1 if score >= 0.5). train_docs: where labelled texts are, if not in docs."""
     sample = labelled_sample(docs if train_docs is None else train_docs, labels, most_per_class=most_per_class, **columns)
     return score(docs, train(sample), **columns).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, text: str = "text", **options) -> DataFrame:
+    """docs that score below the threshold; the machine learns from those of them that are labelled."""
+    machine = train(labelled_sample(docs, labels, text=text, **options))
+    return scored(docs, machine, "__toxicity", text=text).where(F.col("__toxicity") < threshold).drop("__toxicity")
