@@ -13,7 +13,7 @@ with the lowest hash of the id; that bound also bounds what reaches the driver.
 Every document is scored over its whole text.
 
 Defined results: null or empty text has no term and gets the score of w0;
-without labels of both classes the score is the share of toxic labels, 0.0 with
+without labels of both classes the score is the share of toxic labels, next to 0 with
 none; repeated ids in `labels` count once, toxic if any says so; null labels are
 left out; repeated rows each get a row; an empty table gives an empty result.
 """
