@@ -152,12 +152,17 @@ class Compiler:
         env.vars[name] = v
         return name
 
-    def infer(self, n: Node, r: Rel, reverse: bool) -> Node:
+    def infer(self, n: Node, r: Rel, reverse: bool, start: str | None) -> Node:
         """The label that the edge types' declarations leave for an unlabelled end."""
-        if n.labels or r.hops or r.direction == "both":
+        if n.labels:
             return n
         forward = (r.direction == "out") != reverse
-        ends = {(e.target if forward else e.source) for t in r.types or [*self.catalog.edges] if (e := self.catalog.edges.get(t))}
+        types = [e for t in r.types or [*self.catalog.edges] if (e := self.catalog.edges.get(t))]
+        ends = {e.target if forward else e.source for e in types}
+        if r.direction == "both":
+            ends |= {e.source if forward else e.target for e in types}
+        if r.hops and r.hops[0] == 0:
+            ends.add(start)
         return replace(n, labels=[*ends]) if len(ends) == 1 and None not in ends else n
 
     def expand(self, env: Env, left: str, r: Rel, n: Node, reverse: bool, path: str | None = None, distinct: bool = False) -> str:
@@ -166,7 +171,7 @@ class Compiler:
         edges = self.catalog.edges_of(types, direction) if types or not r.types else self.catalog.edges_of([], direction).where(F.lit(False))
         for k, e in (r.props or {}).items():
             edges = edges.where(F.col(k) == self.ex(e, env, {}).col) if k in edges.columns else edges.where(F.lit(False))
-        n = self.infer(n, r, reverse)
+        n = self.infer(n, r, reverse, env.vars[left].label)
         name = n.var or self.new("n")
         if r.hops:
             target = self.new("t")
