@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, end: int = 1, capacity: int = 204
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens.loaded(tokenizer, spaced=True)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in tokens.text_slices(texts):
                 flat, sizes = tokens.with_end(*t.ids(texts[a:b]), end)
                 raw, out = memoryview(flat.astype("<u4").tobytes()), []

@@ -78,7 +78,7 @@ def tokenized(docs: DataFrame, tokenizer: str, *, end: int = 1, doc_id: str = "d
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens.loaded(tokenizer, spaced=False)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             for a, b in tokens.text_slices(texts):
                 flat, sizes = tokens.with_end(*t.ids(texts[a:b]), end)
                 raw, ends = flat.astype(kind).tobytes(), np.concatenate([[0], np.cumsum(sizes)]) * kind.itemsize
