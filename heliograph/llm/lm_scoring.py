@@ -13,8 +13,8 @@ unseen words by the backoff weight of the context:
 so probabilities of all words and the unknown event sum to one for each context. A
 context with nothing freed counts one more occurrence. An unknown context leaves P(v).
 
-How it runs. Documents become chunks of about 4M tokens with a vocabulary of
-their own (a table in the shared folder). Chunk vocabularies, hashed to 64
+How it runs. Documents become chunks of about 700k tokens with a vocabulary of
+their own. Chunk vocabularies, hashed to 64
 bits, are summed in partitions by word; each chunk gets ids and counts of its words back.
 Then each chunk sends its pairs, as compressed columns, to partitions by context:
 there pair counts, discounts and backoff weights are made and every token is
@@ -24,7 +24,7 @@ reach the driver. Everything is linear in the tokens, and nothing that
 grows with the vocabulary is held in one place.
 
 RDDs of packed columns are used, as one shuffle then serves both the counts of
-counts and the scores; lost outputs are made anew from the chunk table.
+counts and the scores; lost outputs are made anew from the documents.
 
 Defined results: null or empty text is its end token alone; null ids are
 trained on; an empty table, or one with no training documents, gives c = 0, N = 0
@@ -40,17 +40,15 @@ from functools import partial
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import python_workers, written
+from .shared import python_workers
 
 END = b"\n"  # no word has white space
-CHUNK = "doc_ids array<long>, held array<boolean>, counts binary, words binary, tokens binary"
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -68,34 +66,35 @@ class _Words(dict):
         return n
 
 
-def chunks(docs: DataFrame, held: str, *, chunk_tokens: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents as CHUNK rows. held: name of the boolean column that keeps a document out of training."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids, out_of, counts, parts, size = _Words(), [], [], [], [], 0
-
-        def row() -> pa.RecordBatch:
-            hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype("<u8")
-            values = [ids, out_of, planes(np.array(counts)), hashes.tobytes(), planes(np.concatenate(parts))]
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 3]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["doc_ids", "held", "counts", "words", "tokens"])
-
-        for batch in batches:
-            for d, t, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = t.encode("utf-8", "replace").lower().split() if t else []
-                found.append(END)
-                ids.append(d)
-                out_of.append(h)
-                counts.append(len(found))
-                parts.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
-                size += len(found)
-                if size >= chunk_tokens:
-                    yield row()
-                    words, ids, out_of, counts, parts, size = _Words(), [], [], [], [], 0
-        if ids:
-            yield row()
+def chunks(docs: DataFrame, held: str, *, chunk_tokens: int, doc_id: str = "doc_id", text: str = "text") -> RDD:
+    """Documents as Chunk rows. held: name of the boolean column that keeps a document out of training.
+
+    Made anew, the same way, wherever it is read. Rows come straight to the one Python
+    worker that cuts chunks and goes on with them, for the executor's memory.
+    """
+    return docs.select(F.col(doc_id).cast("long"), F.col(text), F.col(held)).rdd.mapPartitions(partial(_chunked, chunk_tokens))
 
-    return docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.col(held).alias("h")).mapInArrow(make, CHUNK)
+
+def _chunked(chunk_tokens: int, rows: Iterator) -> Iterator:
+    words, ids, out_of, counts, parts, size = _Words(), [], [], [], [], 0
+
+    def row() -> tuple:
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype("<u8")
+        return ids, out_of, planes(np.array(counts)), hashes.tobytes(), planes(np.concatenate(parts))
+
+    for d, t, h in rows:
+        found = t.encode("utf-8", "replace").lower().split() if t else []
+        found.append(END)
+        ids.append(d)
+        out_of.append(h)
+        counts.append(len(found))
+        parts.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+        size += len(found)
+        if size >= chunk_tokens:
+            yield row()
+            words, ids, out_of, counts, parts, size = _Words(), [], [], [], [], 0
+    if ids:
+        yield row()
 
 
 class Chunk(NamedTuple):
@@ -188,13 +187,23 @@ def _answer_words(starts: dict[int, int], index: int, rows: Iterator) -> Iterato
         yield x[0], (x[1], index, planes(np.where(c > 0, starts[index] + at + 1, 0)), planes(c))
 
 
-def _by_chunk(rows: Iterator) -> Iterator:
-    found = defaultdict(list)
-    for _, x in rows:
-        found[x[0]].append(x[1:])
-    for at in sorted(found):
-        pieces = sorted(found[at])
-        yield b"".join(unplanes(x[1]).tobytes() for x in pieces), b"".join(unplanes(x[2]).tobytes() for x in pieces)
+def _own_chunks(index: int, rows: Iterator) -> Iterator:
+    """Chunks on their way to where their words' answers go."""
+    for at, row in enumerate(rows):
+        yield index, (at, row)
+
+
+def _together(rows: Iterator) -> Iterator:
+    """(chunk's row, (ids, counts) of its words) of each chunk of a partition."""
+    own, answers = {}, defaultdict(list)
+    for key, x in rows:
+        if len(x) == 2:
+            own[key, x[0]] = x[1]
+        else:
+            answers[key, x[0]].append(x[1:])
+    for key in sorted(own):
+        pieces = sorted(answers.pop(key))
+        yield key, (own.pop(key), (b"".join(unplanes(x[1]).tobytes() for x in pieces), b"".join(unplanes(x[2]).tobytes() for x in pieces)))
 
 
 def _known(row, answer: tuple[bytes, bytes], n_parts: int) -> tuple[Chunk, np.ndarray, np.ndarray]:
@@ -223,9 +232,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _send_pairs(u1: Unigrams, n_words: int, n_pairs: int, start: int, starts: int, index: int, rows: Iterator) -> Iterator:
-    """(partition of contexts, (chunk's partition, chunk, columns)): context, token, token's count, 4 document + 2 training + split."""
-    for at, (row, answer) in enumerate(rows):
+def _send_pairs(u1: Unigrams, n_words: int, n_pairs: int, start: int, starts: int, rows: Iterator) -> Iterator:
+    """(partition of contexts, (chunk, columns)): context, token, token's count, 4 document + 2 training + split."""
+    for (index, at), (row, answer) in _together(rows):
         c, ids, count = _known(row, answer, n_words)
         u, v, cv = _contexts(c, ids, start), ids[c.tokens], count[c.tokens]
         cu = np.concatenate([[starts], cv[:-1]])
@@ -233,8 +242,10 @@ def _send_pairs(u1: Unigrams, n_words: int, n_pairs: int, start: int, starts: in
         doc = np.repeat(np.arange(len(c.counts)), c.counts)
         keep = np.flatnonzero(u > 0)
         u, v, cv, cu, doc = u[keep], v[keep], cv[keep], cu[keep], doc[keep]
+        del keep
         over = _spread(cu, u1.total, n_pairs)
         tag = 4 * doc + 2 * ~c.held[doc] + (over > 1)
+        del cu, doc
         to = ((_mix(u) + _mix(v + 1) % over.astype(np.uint64)) % np.uint64(n_pairs)).astype(np.int64)
         order = np.argsort(u << 32 | v, kind="stable")
         order = order[np.argsort(to[order], kind="stable")]
@@ -318,28 +329,28 @@ def _score_pairs(u1: Unigrams, d: np.ndarray, k: int, table, rows: Iterator) ->
         doc = x.doc[mine]
         total = np.bincount(doc, log[x.kind[mine]])
         used = np.unique(doc)
-        yield (part, n), (used.astype("<u4").tobytes(), total[used].astype("<f8").tobytes())
+        yield part, (n, used.astype("<u4").tobytes(), total[used].astype("<f8").tobytes())
 
 
-def _documents(u1: Unigrams, n_words: int, start: int, index: int, rows: Iterator) -> Iterator:
-    """((chunk's partition, chunk), per-document columns); score: of tokens after unknown words."""
-    for at, (row, answer) in enumerate(rows):
+def _documents(u1: Unigrams, n_words: int, start: int, rows: Iterator) -> Iterator:
+    """(chunk, per-document columns); score: of tokens after unknown words."""
+    for (index, at), (row, answer) in _together(rows):
         c, ids, count = _known(row, answer, n_words)
         first = np.cumsum(c.counts) - c.counts
         cv = count[c.tokens]
         base = np.log10((cv + 0.5) / (u1.total + 0.5 * (u1.kinds + 1)))
         alone = np.where(_contexts(c, ids, start) > 0, 0.0, np.log10(np.maximum(u1.p(cv), 1e-300)))
         add = lambda x, first=first: np.add.reduceat(x, first)
-        yield (index, at), (c.ids, c.held.tolist(), c.counts.tolist(), add((cv > 0).astype(np.int64)).tolist(), add(base).tolist(), add(alone).tolist())
+        yield index, (at, c.ids, c.held.tolist(), c.counts.tolist(), add((cv > 0).astype(np.int64)).tolist(), add(base).tolist(), add(alone).tolist())
 
 
 def _join(total: int, rows: Iterator) -> Iterator:
     docs, sums = {}, defaultdict(list)
-    for key, x in rows:
-        if len(x) == 2:
-            sums[key].append(x)
+    for part, x in rows:
+        if len(x) == 3:
+            sums[part, x[0]].append(x[1:])
         else:
-            docs[key] = x
+            docs[part, x[0]] = x[1:]
     for key in sorted(docs):
         ids, held, n, known, base, score = docs[key]
         score = np.array(score)
@@ -351,51 +362,56 @@ def _join(total: int, rows: Iterator) -> Iterator:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _padded(rdd: RDD, n: int) -> RDD:
-    """rdd with empty partitions after its own, n in all."""
-    more = n - rdd.getNumPartitions()
-    return rdd.context.union([rdd, rdd.context.parallelize([], more)]) if more > 0 else rdd
+def _as_is(x: int) -> int:
+    return x
 
 
 def _dealt(rdd: RDD, n: int) -> RDD:
-    return rdd.partitionBy(n, lambda x: x)
+    return rdd.partitionBy(n, _as_is)
+
 
+def _side_by_side(a: RDD, b: RDD, n: int) -> RDD:
+    """Both dealt by their keys, with each key's elements in one partition. Spark lays
+    equally dealt RDDs side by side, so a task has one Python worker."""
+    x, y = _dealt(a, n), _dealt(b, n)
+    out = x.union(y)
+    return out if out.getNumPartitions() == x.getNumPartitions() else _dealt(a.union(b), n)
 
-def katz_scores(docs: DataFrame, held: str, *, k: int = 5, chunk_tokens: int = 4_000_000, part_tokens: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def katz_scores(docs: DataFrame, held: str, *, k: int = 5, chunk_tokens: int = 700_000, part_tokens: int = 1_200_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """RESULT for every document; rows whose boolean column `held` is true are not trained on."""
     spark = docs.sparkSession
     python_workers(spark, 500)
-    table = written(chunks(docs, held, chunk_tokens=chunk_tokens, doc_id=doc_id, text=text), "chunks")
-    shape = table.agg(F.coalesce(F.sum(F.aggregate(F.transform("held", lambda h: F.when(h, 0).otherwise(1)), F.lit(0), lambda a, x: a + x)), F.lit(0)).alias("trained"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("kinds"), F.count("*").alias("chunks")).first()
-    if not shape["chunks"]:
+    shape = docs.agg(F.count("*").alias("docs"), F.count(F.when(~F.col(held), 1)).alias("trained"), F.sum(F.octet_length(F.col(text))).alias("bytes")).first()
+    if not shape["docs"]:
         return spark.createDataFrame([], RESULT)
-    rows = table.rdd.map(tuple)
+    rows = chunks(docs, held, chunk_tokens=chunk_tokens, doc_id=doc_id, text=text)
     fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_words = max(fewest, -(-shape["kinds"] // (8 * part_tokens)))
 
-    words = _dealt(rows.mapPartitionsWithIndex(partial(_send_words, n_words)), n_words)
-    if words.getNumPartitions() != n_words:  # the session may deal to more
-        n_words = words.getNumPartitions()
-        words = _dealt(rows.mapPartitionsWithIndex(partial(_send_words, n_words)), n_words)
+    def dealt(rdd: RDD, n: int, make) -> tuple[RDD, int]:
+        """make(n) of rdd by its keys over n partitions, or as many as the session deals to."""
+        out = _dealt(make(n), n)
+        more = out.getNumPartitions()
+        return (out, n) if more == n else (_dealt(make(more), more), more)
+
+    words, n_words = dealt(rows, max(fewest, -(-(shape["bytes"] or 0) // (20 * part_tokens))), lambda n: rows.mapPartitionsWithIndex(partial(_send_words, n)))
     total, kinds, n, sizes = words.mapPartitionsWithIndex(partial(_word_stats, k)).reduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] + b[3]))
     starts, at = {}, 0
     for i, size in sorted(sizes):
         starts[i], at = at, at + size
     u1, start = Unigrams.of(total, kinds, n, k), at + 1
-    answers = _dealt(words.mapPartitionsWithIndex(partial(_answer_words, starts)), rows.getNumPartitions())
-    both = _padded(rows, answers.getNumPartitions()).zip(answers.mapPartitions(_by_chunk))
+    answers = words.mapPartitionsWithIndex(partial(_answer_words, starts))
+    both = _side_by_side(answers, rows.mapPartitionsWithIndex(_own_chunks), rows.getNumPartitions())
 
     tokens = max(total, 1) * 5 // 4
-    n_pairs = max(fewest, -(-tokens // part_tokens))
-    probe = _dealt(spark.sparkContext.parallelize([(0, 0)], 1), n_pairs)
-    n_pairs = probe.getNumPartitions()
-    pairs = _dealt(both.mapPartitionsWithIndex(partial(_send_pairs, u1, n_words, n_pairs, start, shape["trained"])), n_pairs)
+    pairs, n_pairs = dealt(both, max(fewest, -(-tokens // part_tokens)), lambda n: both.mapPartitions(partial(_send_pairs, u1, n_words, n, start, shape["trained"])))
     kinds_by_count, split = pairs.mapPartitions(partial(_pair_stats, u1, k)).treeReduce(_add_stats)
     d = discounts(kinds_by_count, k)
     names = sorted(split)
     divisor, alpha = _weights(np.array([split[u] for u in names]).reshape(-1, k + 2), d)
     weights = spark.sparkContext.broadcast(dict(zip(names, zip(divisor.tolist(), alpha.tolist(), strict=True), strict=True)))
     scores = pairs.mapPartitions(partial(_score_pairs, u1, d, k, weights))
-    per_chunk = both.mapPartitionsWithIndex(partial(_documents, u1, n_words, start)).union(scores)
-    joined = per_chunk.partitionBy(fewest, lambda x: hash(x)).mapPartitions(partial(_join, total))
+    # Keys are a partition and a chunk's number in it; all of a partition's go together.
+    per_chunk = both.mapPartitions(partial(_documents, u1, n_words, start))
+    joined = _side_by_side(per_chunk, scores, rows.getNumPartitions()).mapPartitions(partial(_join, total))
     return spark.createDataFrame(joined, RESULT)
