@@ -10,7 +10,7 @@ cheapest m wins. Sample and estimate only steer the cost; links are exact for an
 A fingerprint probes each partition with every value within t_i of its own.
 Rows that meet at a value are verified on all 64 bits. A value where more than
 `block` rows meet is split into blocks, and each pair of blocks is a group of
-its own, so no task holds a large group. A group emits only a spanning forest of its
+its own, so no task holds a large group. A dense group emits a spanning forest of its
 links. Components come from alternating large-star and small-star rounds, with a
 table in the shared folder after each.
 
@@ -175,8 +175,12 @@ def _forest(fp: np.ndarray, own: np.ndarray, tau: int) -> list[tuple[int, int]]:
     return out
 
 
-def group_links(columns: list[np.ndarray], fp: np.ndarray, own: np.ndarray, tau: int, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Links within groups of rows, which are sorted by the group columns."""
+def group_links(columns: list[np.ndarray], fp: np.ndarray, own: np.ndarray, tau: int, most_pairs: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Links within groups of rows, which are sorted by the group columns.
+
+    Every own row is compared with all rows of its group, for all groups at once. Where
+    a group has more links than eight for each row, it gives a spanning forest instead.
+    """
     n = len(fp)
     new = np.zeros(n, bool)
     new[:1] = True
@@ -185,23 +189,32 @@ def group_links(columns: list[np.ndarray], fp: np.ndarray, own: np.ndarray, tau:
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, n))
     group = np.cumsum(new) - 1
-    a, b = [], []
-    few = sizes[group] <= small
-    for d in range(1, min(small, int(sizes.max(initial=0)))):
-        same = (group[d:] == group[:-d]) & few[d:]
-        i = np.flatnonzero(same)
-        i = i[(np.bitwise_count(fp[i] ^ fp[i + d]) <= tau) & (own[i] | own[i + d])]
-        a.append(fp[i])
-        b.append(fp[i + d])
-    for g in np.flatnonzero(sizes > small):
-        s = slice(starts[g], starts[g] + sizes[g])
-        if links := _forest(fp[s], own[s], tau):
-            i, j = np.array(links).T
-            a.append(fp[s][i])
-            b.append(fp[s][j])
+    rows = np.flatnonzero(own & (sizes[group] > 1))
+    ends = np.cumsum(sizes[group[rows]])
+    a, b, at = [], [], 0
+    while at < len(rows):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most_pairs, side="right")))
+        left, count = rows[at:to], sizes[group[rows[at:to]]]
+        right = np.arange(int(count.sum())) + np.repeat(starts[group[left]] - (np.cumsum(count) - count), count)
+        left = np.repeat(left, count)
+        hit = (np.bitwise_count(fp[left] ^ fp[right]) <= tau) & ((left < right) | ~own[right]) & (fp[left] != fp[right])
+        a.append(left[hit])
+        b.append(right[hit])
+        at = to
     if not a:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     a, b = np.concatenate(a), np.concatenate(b)
+    dense = np.bincount(group[a], minlength=len(sizes)) > 8 * sizes
+    if dense.any():
+        keep = ~dense[group[a]]
+        more = [np.zeros((0, 2), np.int64)]
+        for g in np.flatnonzero(dense):
+            s = slice(starts[g], starts[g] + sizes[g])
+            more.append(np.array(_forest(fp[s], own[s], tau), np.int64).reshape(-1, 2) + starts[g])
+        more = np.concatenate(more)
+        a, b = np.concatenate([a[keep], more[:, 0]]), np.concatenate([b[keep], more[:, 1]])
+    a, b = fp[a], fp[b]
     return a[a != b], b[a != b]
 
 

@@ -156,8 +156,8 @@ def test_simhash_components(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.deduplicated(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block", [8, 2048])
-def test_links_are_whole(spark, block):
+@pytest.mark.parametrize("block,tau", [(8, 3), (2048, 3), (64, 6)])
+def test_links_are_whole(spark, block, tau):
     """Clusters, chains and noise, with groups over and under the block size."""
     r = random.Random(block)
     fps = {r.getrandbits(64) for _ in range(300)}
@@ -171,8 +171,8 @@ def test_links_are_whole(spark, block):
         fps.add((1 << 63) | (1 << b))
     fps = sorted(fps)
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    got = {x["node"] % 2**64: x["root"] % 2**64 for x in simhash.components(simhash.links(df, 3, block=block)).collect()}
-    want, groups, mine = roots(fps), defaultdict(set), defaultdict(set)
+    got = {x["node"] % 2**64: x["root"] % 2**64 for x in simhash.components(simhash.links(df, tau, block=block)).collect()}
+    want, groups, mine = roots(fps, tau), defaultdict(set), defaultdict(set)
     for f in fps:
         groups[want[f]].add(f)
         mine[got.get(f, f)].add(f)
