@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower, bind
 
-SPACE = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -53,18 +52,17 @@ def _repeat_words(w: Column) -> Column:
 
 
 def _has_word(line: Column) -> Column:
-    return F.translate(line, SPACE, "") != ""
+    return F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))
 
 
 def base_metrics(text: Column) -> Column:
-    """Struct n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
+    """Struct w (n words, c characters in them, r repeated words), n_symbols, n_dup_lines of a text."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), _has_word)
-    repeats = bind(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("r")))
+    of_words = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.char_length(F.array_join(w, "")).cast("long").alias("c"), _repeat_words(w).cast("long").alias("r"))
     return F.struct(
-        repeats.alias("w"),
-        F.char_length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        bind(words(text), of_words).alias("w"),
+        (F.char_length(text) - F.char_length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
 
@@ -96,7 +94,7 @@ def quality_report(docs: DataFrame, *, line_docs: int = 20, line_share: float =
     common = boilerplate_lines(docs, line_docs, line_share, text=text, source=source).select("host", "line")
     met = rows.join(common, ["host", "line"]).select("doc_id", "k", "at", "line", "in_line").distinct()
     cut = met.groupBy(F.col("doc_id").alias("d"), F.col("k").alias("kk")).agg(F.sum("in_line").alias("cut_words"), F.collect_set("line").alias("cut_lines"))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), base_metrics(F.col(text)).alias("m")).select("doc_id", "k", F.col("m.w.n").alias("n_words"), "m.word_chars", "m.n_symbols", "m.n_dup_lines", F.col("m.w.r").alias("n_repeat_words"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), base_metrics(F.col(text)).alias("m")).select("doc_id", "k", F.col("m.w.n").alias("n_words"), F.col("m.w.c").alias("word_chars"), "m.n_symbols", "m.n_dup_lines", F.col("m.w.r").alias("n_repeat_words"))
     out = base.join(cut, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("kk")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     removed = F.coalesce(F.col("cut_words"), F.lit(0)).cast("long")

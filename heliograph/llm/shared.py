@@ -40,9 +40,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z; no other character changes."""
+    """A-Z to a-z; no other character changes. Text of ASCII alone takes lower(), which is much faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(text, upper, upper.lower())
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
 def held_out_fold(doc_id: Column, folds: int = 5) -> Column:
