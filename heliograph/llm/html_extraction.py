@@ -272,7 +272,7 @@ def extract(pages: list[str | None], model: Model) -> list[str]:
 
 
 def main_text(pages: DataFrame, model: Model | None = None, *, html_column: str = "html") -> DataFrame:
-    """All columns of pages but the html, and text and n_chars."""
+    """page_id and url, where pages have them, and text and n_chars; one row a page."""
     python_workers(pages.sparkSession)
     model = model or train()
     keep = [c for c in ("page_id", "url") if c in pages.columns]

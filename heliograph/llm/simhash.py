@@ -14,6 +14,9 @@ its own, so no task holds a large group. A dense group emits a spanning forest o
 links. Components come from alternating large-star and small-star rounds, with a
 table in the shared folder after each.
 
+With several seeds a text has that many independent fingerprints, each linked by
+itself; the links of all make the components.
+
 Defined results: text without words, null too, has fingerprint zero, which links
 like any other; a component whose ids are all null has a null id; repeated rows
 each get a row; an empty table gives an empty result; other columns are not read.
@@ -35,32 +38,34 @@ from .shared import python_workers, written
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of the word shingles, repeats included."""
+def prints(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
+    """Signed 64-bit SimHash of the word shingles, repeats included, for each seed of the hash."""
     words = text.encode("utf-8", "replace").lower().split() if text else []  # bytes: only A-Z, only ASCII white space
     if not words:
-        return 0
+        return [0] * len(seeds)
     k = min(shingle, len(words))
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
-    digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[k - 1 :], strict=False)])
-    h = np.frombuffer(raw, np.uint8).reshape(-1, 8)
-    votes = sum(np.unpackbits(h[i : i + (1 << 15)], axis=1).sum(0, dtype=np.int64) for i in range(0, len(h), 1 << 15))
-    return int.from_bytes(np.packbits(2 * votes > len(h)).tobytes(), "big", signed=True)
+    shingles = [joined[a : b - 1] for a, b in zip([0, *ends], ends[k - 1 :], strict=False)]
+    digest, out = xxhash.xxh64_digest, []
+    for seed in seeds:
+        h = np.frombuffer(b"".join([digest(x, seed) for x in shingles]), np.uint8).reshape(-1, 8)
+        votes = sum(np.unpackbits(h[i : i + (1 << 15)], axis=1).sum(0, dtype=np.int64) for i in range(0, len(h), 1 << 15))
+        out.append(int.from_bytes(np.packbits(2 * votes > len(h)).tobytes(), "big", signed=True))
+    return out
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, k (hash of id and text), fp (signed long)."""
+def fingerprints(docs: DataFrame, *, shingle: int = 3, seeds: tuple[int, ...] = (42,), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, k (hash of id and text), fps (a signed long for each seed)."""
     python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(t, shingle, seed) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp, pa.int64())], ["doc_id", "k", "fp"])
+            fps = [prints(t, shingle, seeds) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "k", "fps"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, k long, fp long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, k long, fps array<long>")
 
 
 def correlated_groups(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -289,14 +294,33 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, tau: int = 3, shingle: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, k, fp, root (least fingerprint of the component), component_id (the least id that is reachable over links)."""
-    marks = written(fingerprints(docs, shingle=shingle, seed=seed, doc_id=doc_id, text=text), "fingerprints")
-    classes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), tau))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def near_duplicates(docs: DataFrame, *, tau: int = 3, shingle: int = 3, seeds: tuple[int, ...] = (42,), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, k, fp (of the first seed), root (names the component), component_id (the least id that is reachable over links).
+
+    Texts are linked if the fingerprints of any seed are; more seeds find more of the alike texts.
+    """
+    marks = fingerprints(docs, shingle=shingle, seeds=seeds, doc_id=doc_id, text=text)
+    # Texts with all fingerprints in common are a class, named by the one fingerprint, or by a hash of several.
+    marks = written(marks.withColumn("c", F.element_at("fps", 1) if len(seeds) == 1 else F.xxhash64("fps")), "fingerprints")
+    classes = written(marks.groupBy("c").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps")), "classes")
+    edges = None
+    for i in range(len(seeds)):
+        own = classes.select("c", F.element_at("fps", i + 1).alias("fp"))
+        if len(seeds) == 1:
+            found = links(own.select("fp"), tau)
+        else:
+            # The least class with a fingerprint stands for it.
+            named = written(own.groupBy("fp").agg(F.min("c").alias("rep"), F.count("*").alias("n")), "named")
+            pairs = links(named.select("fp"), tau)
+            for end in ("a", "b"):
+                pairs = pairs.join(named.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}")), end).drop(end).withColumnRenamed(f"rep_{end}", end)
+            shared = own.join(named.where("n > 1"), "fp").select(F.col("rep").alias("a"), F.col("c").alias("b"))
+            found = pairs.select("a", "b").union(shared)
+        edges = found if edges is None else edges.union(found)
+    roots = components(edges)
+    rooted = classes.join(roots, classes["c"] == roots["node"], "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marks.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "k", "fp", "root", "component_id")
+    return marks.join(rooted.join(ids, "root").select("c", "root", "component_id"), "c").select("doc_id", "k", F.element_at("fps", 1).alias("fp"), "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
