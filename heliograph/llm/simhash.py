@@ -294,8 +294,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, tau: int = 3, shingle: int = 3, seeds: tuple[int, ...] = (42,), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, k, fp (of the first seed), root (names the component), component_id (the least id that is reachable over links).
+def linked(docs: DataFrame, *, tau: int = 3, shingle: int = 3, seeds: tuple[int, ...] = (42,), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, k, fps, c of every document; classes c with least id and fps; node and root of the linked classes).
 
     Texts are linked if the fingerprints of any seed are; more seeds find more of the alike texts.
     """
@@ -317,16 +317,26 @@ def near_duplicates(docs: DataFrame, *, tau: int = 3, shingle: int = 3, seeds: t
             shared = own.join(named.where("n > 1"), "fp").select(F.col("rep").alias("a"), F.col("c").alias("b"))
             found = pairs.select("a", "b").union(shared)
         edges = found if edges is None else edges.union(found)
-    roots = components(edges)
+    return marks, classes, components(edges)
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, k, fp (of the first seed), root (names the component), component_id (the least id that is reachable over links)."""
+    marks, classes, roots = linked(docs, **options)
     rooted = classes.join(roots, classes["c"] == roots["node"], "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marks.join(rooted.join(ids, "root").select("c", "root", "component_id"), "c").select("doc_id", "k", F.element_at("fps", 1).alias("fp"), "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row for each component: of its least id, or with a null id if it has no other."""
-    rows = near_duplicates(docs, doc_id=doc_id, text=text, **options).groupBy("root", "doc_id", "k").count()
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "count")).alias("x"))
+    """docs with one row for each component: of its least id, or with a null id if it has no other.
+
+    Each class gives its first row before components are looked up, so large groups meet only as partial minima.
+    """
+    marks, _, roots = linked(docs, doc_id=doc_id, text=text, **options)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "count")).alias("x")
+    classes = marks.groupBy("c", "doc_id", "k").count().groupBy("c").agg(least)
+    first = classes.join(roots, classes["c"] == roots["node"], "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("x").alias("x"))
     keep = first.select(F.col("x.doc_id").alias("__d"), F.col("x.k").alias("__k"), F.col("x.count").alias("__n"))
     found = docs.join(keep, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(F.col(doc_id), F.col(text)) == F.col("__k")))
     # Only of fully repeated rows is more than one left.
