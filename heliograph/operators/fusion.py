@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 RRF_K = 60
 
 
@@ -27,7 +29,8 @@ def rrf(rows: DataFrame, scores: list[str], out: str = "rrf_score", k: int = RRF
 def score_ranks(rows: DataFrame, score: str) -> DataFrame:
     """score, rank (competition, from 1 for the greatest) of each distinct score."""
     counts = rows.where(F.col(score).isNotNull()).groupBy(score).count()
-    parts = counts.repartitionByRange(F.col(score).desc()).withColumn("__p", F.spark_partition_id())
+    # Kept, as the sums inside and before a range must see the same ranges.
+    parts = cut(counts.repartitionByRange(F.col(score).desc()).withColumn("__p", F.spark_partition_id()))
     parts = parts.sortWithinPartitions(F.col(score).desc())
     inside = F.sum("count").over(Window.partitionBy("__p").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1))
     before = parts.groupBy("__p").agg(F.max(score).alias("top"), F.sum("count").alias("n"))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 Edges = dict[str, tuple[DataFrame, bool, bool]]
 
 
@@ -24,9 +26,10 @@ def with_ids(new: DataFrame, first: Column | int, order: list[str]) -> DataFrame
     """Rows with consecutive ids from `first`, in the given order.
 
     Rows are sorted by range, numbered inside each partition, and set off by the counts of
-    the partitions before: no task sees all rows.
+    the partitions before: no task sees all rows. The ranges are kept, as both the numbers and
+    the counts must see the same ones.
     """
-    parts = new.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    parts = cut(new.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     n = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
     counts = parts.groupBy("__p").agg(F.count("*").alias("n"))
     before = counts.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
