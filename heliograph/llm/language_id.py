@@ -11,8 +11,8 @@ numpy: one table lookup per symbol and language, in which the transition and
 whether a new phrase begins are one number.
 
 The automata learn a documented sample, at most `sample_chars` symbols of each
-language from whole texts with the lowest hash of the id; predictions read every
-text whole.
+language from the texts with the lowest hash of the id, of a longer text its
+beginning; predictions read every text whole.
 
 Defined results: text that is null or has no letter gives `und` with score 0.0;
 so does all text if nothing can be learned; ties go to the language with more
