@@ -59,6 +59,8 @@ WITH RECURSIVE e AS (SELECT p_partkey AS x, p_partkey // 2 AS y FROM part WHERE
 walk AS (SELECT p_partkey AS a, p_partkey AS b, 0 AS h FROM part WHERE p_size = 9 AND p_partkey < 60 UNION SELECT a, y, h + 1 FROM walk JOIN e ON b = x WHERE h < 3),
 pairs AS (SELECT p.p_partkey AS a, q.p_partkey AS b FROM part p, part q WHERE p.p_size = 9 AND q.p_size = 11 AND p.p_partkey < 60 AND q.p_partkey < 60)
 SELECT pairs.a, pairs.b, min(h)::BIGINT AS hops FROM pairs LEFT JOIN walk ON walk.a = pairs.a AND walk.b = pairs.b GROUP BY ALL""")
+# Every part of the size with each of its near ancestors: as many pairs as parts, at any size. shortest_path has the pairs that its SQL has.
+graph_text("shortest_path_whole", "MATCH (a:Part {p_size: 9})-[:PARENT*1..3]->(b:Part) MATCH p = shortestPath((a)-[:PARENT*..3]-(b)) RETURN id(a) AS a, id(b) AS b, length(p) AS hops", "SELECT p_partkey AS a, p_partkey // k AS b, h::BIGINT AS hops FROM part, (VALUES (2, 1), (4, 2), (8, 3)) d(k, h) WHERE p_size = 9 AND p_partkey // k >= 1")
 graph_text("temporal_active", "MATCH (u:User)-[r:DID]->(t:EventType) WHERE temporal_active_at(r, $t) RETURN id(u) AS user, t.name AS doing", "WITH e AS (SELECT *, epoch_us(ts) // 1000 AS f, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS u FROM events) SELECT user_id AS user, event_type AS doing FROM e WHERE f <= 1705320000000 AND (u IS NULL OR u > 1705320000000)", t=1705320000000)
 graph_text("temporal_overlaps", "MATCH (u:User)-[r:DID]->(t:EventType) WHERE temporal_overlaps(r, $a, $b) AND r.value > 50 RETURN id(u) AS user, t.name AS doing, r.valid_from AS since", "WITH e AS (SELECT *, epoch_us(ts) // 1000 AS f, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS u FROM events) SELECT user_id AS user, event_type AS doing, f AS since FROM e WHERE f < 1705406400000 AND (u IS NULL OR u > 1705320000000) AND value > 50", a=1705320000000, b=1705406400000)
 graph_text("string_functions", "MATCH (c:Customer) RETURN id(c) AS id, toLower(c.c_name) AS lo, toUpper(c.c_mktsegment) AS up, left(c.c_name, 3) AS l, right(c.c_name, 4) AS r, substring(c.c_name, 2, 5) AS s, replace(c.c_name, '#', '-') AS x, reverse(c.c_mktsegment) AS rev, size(c.c_name) AS n, split(c.c_name, '#')[0] AS head, trim('  a ') AS t", "SELECT c_custkey AS id, lower(c_name) AS lo, upper(c_mktsegment) AS up, left(c_name, 3) AS l, right(c_name, 4) AS r, substr(c_name, 3, 5) AS s, replace(c_name, '#', '-') AS x, reverse(c_mktsegment) AS rev, strlen(c_name) AS n, string_split(c_name, '#')[1] AS head, 'a' AS t FROM customer")

@@ -58,3 +58,11 @@ def test_entry_without_the_pipeline(tmp_path):
     assert "top_nations" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
     """
     subprocess.run([sys.executable, "-c", textwrap.dedent(code)], check=True, cwd=tmp_path, timeout=120)
+
+
+def test_shortest_path_over_the_whole_table(spark):
+    """Each part of the size is a start, those with ids of 60 and more too."""
+    parts = {r["p_partkey"] for r in spark.read.parquet(f"{DATA}/part.parquet").where("p_size = 9 and p_partkey > 1").collect()}
+    got = QUERIES["shortest_path_whole"](spark, DATA).collect()
+    assert {r["a"] for r in got} == parts and max(parts) >= 60
+    assert {(r["a"], r["b"], r["hops"]) for r in got} == {(a, a >> h, h) for a in parts for h in (1, 2, 3) if a >> h}
