@@ -304,13 +304,23 @@ def redirect_edges(spark, sf_dir):
     return mutate.redirect_edges(edges, 2, 5, "out")
 
 
-@registered("SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_id < 200")
-def detach_document(spark, sf_dir):
-    ev = read(spark, sf_dir, "events").where("event_id < 200").select(F.col("event_id").alias("id"), F.from_json("props", "k long").alias("doc"))
+def _detached(events):
+    ev = events.select(F.col("event_id").alias("id"), F.from_json("props", "k long").alias("doc"))
     _, docs, edges = mutate.detach_document(ev, "doc")
     return edges.join(docs.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "k")
 
 
+@registered("SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_id < 200")
+def detach_document(spark, sf_dir):
+    return _detached(read(spark, sf_dir, "events").where("event_id < 200"))
+
+
+@registered("SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def detach_document_whole(spark, sf_dir):
+    """All events; detach_document has those of its SQL."""
+    return _detached(read(spark, sf_dir, "events"))
+
+
 @registered("SELECT n_nationkey::BIGINT AS id, n_name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
 def attach_document(spark, sf_dir):
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_name", F.col("n_regionkey").cast("long").alias("r"))
@@ -319,13 +329,23 @@ def attach_document(spark, sf_dir):
     return out.select("id", "n_name", F.col("doc.r_name").alias("region"))
 
 
-@registered("SELECT event_id AS id, list_transform(list_filter([1, 2, 3, event_id % 3], lambda x: x <> 2), lambda x: x)::BIGINT[]::VARCHAR AS tags, 1 + event_id AS hits FROM events WHERE event_id < 50")
-def document_updates(spark, sf_dir):
-    ev = read(spark, sf_dir, "events").where("event_id < 50").select(F.col("event_id").alias("id"), F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<bigint>").alias("tags"), F.lit(None).cast("long").alias("hits"))
+def _updated(events):
+    ev = events.select(F.col("event_id").alias("id"), F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<bigint>").alias("tags"), F.lit(None).cast("long").alias("hits"))
     ev = ev.withColumn("tags", mutate.doc_pull(mutate.doc_push(F.col("tags"), F.col("id") % 3), F.lit(2)))
     return ev.select("id", F.concat(F.lit("["), F.array_join(F.col("tags").cast("array<string>"), ", "), F.lit("]")).alias("tags"), mutate.doc_inc(F.col("hits"), 1 + F.col("id")).alias("hits"))
 
 
+@registered("SELECT event_id AS id, list_transform(list_filter([1, 2, 3, event_id % 3], lambda x: x <> 2), lambda x: x)::BIGINT[]::VARCHAR AS tags, 1 + event_id AS hits FROM events WHERE event_id < 50")
+def document_updates(spark, sf_dir):
+    return _updated(read(spark, sf_dir, "events").where("event_id < 50"))
+
+
+@registered("SELECT event_id AS id, list_transform(list_filter([1, 2, 3, event_id % 3], lambda x: x <> 2), lambda x: x)::BIGINT[]::VARCHAR AS tags, 1 + event_id AS hits FROM events")
+def document_updates_whole(spark, sf_dir):
+    """All events; document_updates has those of its SQL."""
+    return _updated(read(spark, sf_dir, "events"))
+
+
 @registered(None)
 def encrypted_match(spark, sf_dir):
     """Equality on keyed tokens."""
