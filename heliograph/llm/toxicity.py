@@ -10,6 +10,8 @@ for each of them, and with the factors every pairwise interaction:
 
 The sample holds at most `most_per_class` labelled documents of each class, those
 with the lowest hash of the id; that bound also bounds what reaches the driver.
+Each weighs in by the labels of its class that it stands for, so the share of toxic
+labels that the machine learns is that of all labels, at any size.
 Every document is scored over its whole text.
 
 Defined results: null or empty text has no term and gets the score of w0;
@@ -69,7 +71,7 @@ def rows_of(text: str | None, known: _Buckets) -> set[int]:
 
 
 def train(labelled: DataFrame, *, bits: int = 20, n_terms: int = 4096, factors: int = 8, steps: int = 150, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """labelled: text, toxic (0 or 1); a bounded sample."""
+    """labelled: text, toxic (0 or 1), and labels of the class that a row stands for in `stands`, 1 without it; a bounded sample."""
     python_workers(labelled.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +82,9 @@ def train(labelled: DataFrame, *, bits: int = 20, n_terms: int = 4096, factors:
         used = np.flatnonzero(total.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(total[k, used], pa.int64()) for k in (0, 1))], ["b", "n0", "n1"])
 
-    sizes = {r["toxic"]: r["c"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("c")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    stands = F.max("stands") if "stands" in labelled.columns else F.lit(1.0)
+    sizes = {r["toxic"]: r for r in labelled.groupBy("toxic").agg(F.count("*").alias("c"), stands.alias("s")).collect()}
+    n0, n1 = (sizes[k]["c"] if k in sizes else 0 for k in (0, 1))
     if not n0 or not n1:
         share = n1 / (n0 + n1) if n0 + n1 else 0.0
         return Machine(bits, float(np.log(max(share, 1e-300) / max(1 - share, 1e-300))), {}, np.zeros(0), np.zeros((0, factors)))
@@ -99,7 +102,7 @@ def train(labelled: DataFrame, *, bits: int = 20, n_terms: int = 4096, factors:
 
     rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(pick, "toxic int, x array<int>").groupBy("toxic", "x").count().collect()
     rows.sort(key=lambda r: (r["toxic"], r["x"]))
-    y, weight = np.array([r["toxic"] for r in rows], float), np.array([r["count"] for r in rows], float)
+    y, weight = np.array([r["toxic"] for r in rows], float), np.array([r["count"] * sizes[r["toxic"]]["s"] for r in rows], float)
     # Either class weighs in by its share among all labels.
     at = np.repeat(np.arange(len(rows)), [len(r["x"]) for r in rows])
     x = np.array([i for r in rows for i in r["x"]], np.int64)
@@ -164,18 +167,20 @@ def score(docs: DataFrame, machine: Machine, *, doc_id: str = "doc_id", text: st
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, most_per_class: int = 8000, folds: int = 5, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
-    """text, toxic of the sample: never documents of fold 0."""
+    """text, toxic, stands (labels of its class for each in the sample) of the sample: never documents of fold 0."""
     ids = (
         labels.select(F.col(doc_id).alias("i"), F.col(toxic).cast("int").alias("toxic"))
         .where(F.col("i").isNotNull() & F.col("toxic").isin(0, 1) & (held_out_fold(F.col("i"), folds) != 0))
         .groupBy("i").agg(F.max("toxic").alias("toxic"))
     )
+    totals = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
     picked = None
     for k in (0, 1):
-        part = ids.where(F.col("toxic") == k).orderBy(F.xxhash64("i"), "i").limit(most_per_class)
+        stands = max(1.0, totals.get(k, 0) / max(1, most_per_class))
+        part = ids.where(F.col("toxic") == k).orderBy(F.xxhash64("i"), "i").limit(most_per_class).withColumn("stands", F.lit(stands))
         picked = part if picked is None else picked.unionByName(part)
     # At most 2 * most_per_class ids.
-    return docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(picked), "i").select("text", "toxic")
+    return docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(picked), "i").select("text", "toxic", "stands")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, train_docs: DataFrame | None = None, most_per_class: int = 8000, **columns) -> DataFrame:

@@ -39,6 +39,16 @@ def test_toxicity_learns_and_holds_out(spark):
     assert sample.count() == 20
 
 
+def test_toxic_share_is_that_of_all_labels(spark):
+    """Below the bound on the sample, with one class at it, and with both: the same score."""
+    docs = spark.createDataFrame([(i, "same words") for i in range(400)], "doc_id long, text string")
+    labels = [(i, int(i % 8 == 0)) for i in range(400)]
+    learnt = [t for i, t in labels if zlib.crc32(str(i).encode()) % 5]
+    for most in (8000, 100, 20):
+        got = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), most_per_class=most).first()
+        assert abs(got["score"] - sum(learnt) / len(learnt)) < 0.01 and got["predicted"] == 0
+
+
 def test_factors_carry_interactions():
     """Two terms that are toxic only together need the pairwise part."""
     x = [[0, 1], [0], [1], [2], [0, 2], [1, 2], [0, 1, 2]]
