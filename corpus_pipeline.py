@@ -14,8 +14,8 @@ from heliograph.llm.shared import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without boilerplate lines."""
-    return quality_rules.apply_quality_rules(docs)
+    """Documents that the rules keep, without boilerplate lines. A line in more than 1000 texts of a host is one, however large the host."""
+    return quality_rules.apply_quality_rules(docs, most_line_docs=1000)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

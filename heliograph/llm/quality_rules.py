@@ -7,7 +7,8 @@ with a line are counted per host, and a line above the host's limit counts as
 boilerplate. A document is depleted, and rejected, if boilerplate lines hold
 more than `max_removed` of its words.
 
-The limit of a host is `max(line_docs, line_share * documents of the host)`;
+The limit of a host is `max(line_docs, line_share * documents of the host)`, and with
+`most_line_docs` no more than that: so many documents suffice, however large the host;
 exact copies of a text count as one document, so that a copied text is left to
 deduplication. Hashes have 64 bits.
 
@@ -75,23 +76,26 @@ def _line_key(line: Column) -> Column:
     return F.xxhash64(ascii_lower(F.array_join(words(line), " ")))
 
 
-def boilerplate_lines(docs: DataFrame, line_docs: int = 20, line_share: float = 0.01, *, text: str = "text", source: str = "source") -> DataFrame:
+def boilerplate_lines(docs: DataFrame, line_docs: int = 20, line_share: float = 0.01, *, most_line_docs: int | None = None, text: str = "text", source: str = "source") -> DataFrame:
     """host, line, docs: normalised lines found in more distinct documents of a host than its limit."""
     body = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select(_host(F.col(source)).alias("host"), F.xxhash64(body).alias("t"), body.alias("body"))
     lines = docs.select("host", "t", F.explode(F.split("body", "\n")).alias("l")).where(_has_word(F.col("l"))).select("host", "t", _line_key(F.col("l")).alias("line"))
     counts = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
     hosts = docs.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.where(F.col("docs") > line_docs).join(hosts, "host").where(F.col("docs") > F.col("host_docs") * line_share).select("host", "line", "docs")
+    above = F.col("docs") > F.col("host_docs") * line_share
+    if most_line_docs is not None:
+        above |= F.col("docs") > most_line_docs
+    return counts.where(F.col("docs") > line_docs).join(hosts, "host").where(above).select("host", "line", "docs")
 
 
-def quality_report(docs: DataFrame, *, line_docs: int = 20, line_share: float = 0.01, max_removed: float = 0.5, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def quality_report(docs: DataFrame, *, line_docs: int = 20, line_share: float = 0.01, most_line_docs: int | None = None, max_removed: float = 0.5, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: doc_id, k, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, removed_words, removed_lines (hashes), base_failed, kept."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.transform(F.filter(F.split(body, "\n"), _has_word), lambda x: F.struct(_line_key(x).alias("line"), F.size(words(x)).alias("in_line")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), _host(F.col(source)).alias("host"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), F.posexplode(lines).alias("at", "x")).select("doc_id", "host", "k", "at", "x.*")
-    common = boilerplate_lines(docs, line_docs, line_share, text=text, source=source).select("host", "line")
+    common = boilerplate_lines(docs, line_docs, line_share, most_line_docs=most_line_docs, text=text, source=source).select("host", "line")
     met = rows.join(common, ["host", "line"]).select("doc_id", "k", "at", "line", "in_line").distinct()
     cut = met.groupBy(F.col("doc_id").alias("d"), F.col("k").alias("kk")).agg(F.sum("in_line").alias("cut_words"), F.collect_set("line").alias("cut_lines"))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), base_metrics(F.col(text)).alias("m")).select("doc_id", "k", F.col("m.w.n").alias("n_words"), F.col("m.w.c").alias("word_chars"), "m.n_symbols", "m.n_dup_lines", F.col("m.w.r").alias("n_repeat_words"))

@@ -70,6 +70,16 @@ def test_quality_base_and_lines(spark):
     assert got == want
 
 
+def test_quality_limit_of_a_large_host_is_bounded(spark):
+    """A line in 12 of 60 texts is under half of them, and above ten texts."""
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, body(i) + ("\nThe footer" if i < 12 else ""), "h") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"line_docs": 5, "line_share": 0.5}
+    left = lambda **more: sum("footer" in r["text"] for r in quality_rules.apply_quality_rules(docs, **options, **more).collect())
+    assert left() == 12 and left(most_line_docs=12) == 12 and left(most_line_docs=10) == 0
+
+
 def test_quality_applied(spark):
     docs = messy(spark)
     out = quality_rules.apply_quality_rules(docs, line_docs=5, line_share=0.05)
