@@ -24,13 +24,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts linked at 6 or fewer differing bits of one of three fingerprints.
+    """Documents that have 0.8 of their five-word shingles in common with no kept document of their component.
 
-    The aim is 0.8 of the five-word shingles in common. A fingerprint at 3 bits, as op10's
+    Components only propose: they hold texts linked at 6 or fewer differing bits of one of three fingerprints. A fingerprint at 3 bits, as op10's
     contract has it, links a fifth of such pairs, one at 6 bits 0.7 of them, and three independent
     ones together more (README).
     """
-    return simhash.deduplicated(docs, tau=6, seeds=(42, 43, 44))
+    return simhash.deduplicated(docs, tau=6, seeds=(42, 43, 44), least_share=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

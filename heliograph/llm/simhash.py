@@ -17,6 +17,10 @@ table in the shared folder after each.
 With several seeds a text has that many independent fingerprints, each linked by
 itself; the links of all make the components.
 
+With `least_share`, deduplication takes components as candidates only. Their texts go in order
+of id, and one is left out only if a kept text before it has that share of its five-word
+shingles in common, exactly; texts of fewer words have one shingle, texts without words are alike.
+
 Defined results: text without words, null too, has fingerprint zero, which links
 like any other; a component whose ids are all null has a null id; repeated rows
 each get a row; an empty table gives an empty result; other columns are not read.
@@ -24,6 +28,7 @@ each get a row; an empty table gives an empty result; other columns are not read
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -56,16 +61,16 @@ def prints(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, seeds: tuple[int, ...] = (42,), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, k (hash of id and text), fps (a signed long for each seed)."""
+    """doc_id, k (hash of id and text), t (hash of the text), fps (a signed long for each seed)."""
     python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [prints(t, shingle, seeds) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "k", "fps"])
+            fps = [prints(t, shingle, seeds) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "k", "t", "fps"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, k long, fps array<long>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, k long, t long, fps array<long>")
 
 
 def correlated_groups(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -328,15 +333,91 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return marks.join(rooted.join(ids, "root").select("c", "root", "component_id"), "c").select("doc_id", "k", F.element_at("fps", 1).alias("fp"), "root", "component_id")
 
 
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    k = min(shingle, len(words))
+    found = (xxhash.xxh64_intdigest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)) if k else ()
+    return np.unique(np.fromiter(found, np.uint64))
+
+
+def alike(a: np.ndarray, b: np.ndarray, least_share: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return not either or both / either >= least_share
+
+
+class _Kept:
+    """Texts kept in a component. Two that have the share in common meet at one of their least hashes."""
+
+    def __init__(self, least_share: float) -> None:
+        self.least_share, self.sets, self.at, self.wordless = least_share, [], {}, False
+
+    def takes(self, s: np.ndarray) -> bool:
+        """Whether no kept text is alike; then s is kept."""
+        if not len(s):
+            new, self.wordless = not self.wordless, True
+            return new
+        first = s[: len(s) - math.ceil(self.least_share * len(s) - 1e-9) + 1].tolist()
+        if any(alike(s, self.sets[i], self.least_share) for i in {i for h in first for i in self.at.get(h, ())}):
+            return False
+        for h in first:
+            self.at.setdefault(h, []).append(len(self.sets))
+        self.sets.append(s)
+        return True
+
+
+def _apart(texts: DataFrame, docs: DataFrame, least_share: float, doc_id: str, text: str, large: int = 2048) -> DataFrame:
+    """Of texts (root, x), those that no kept text before them in the component is alike to.
+
+    In a large component all texts are first held against its first, wherever they are.
+    """
+    python_workers(docs.sparkSession)
+    texts = written(texts, "texts")
+    sizes = texts.groupBy("root").agg(F.count("*").alias("n"), F.min("x").alias("first"))
+    alone = sizes.where("n = 1").select(F.col("first").alias("x"))
+    some = texts.join(sizes.where("n > 1").select("root", F.col("n").alias("in_root")), "root").select("root", "x", "in_root")
+    body = docs.select(F.col(doc_id).alias("d"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"), F.col(text).alias("text"))
+    found = body.join(some, F.col("d").eqNullSafe(F.col("x.doc_id")) & (F.col("h") == F.col("x.k"))).select("root", "x", "in_root", "text")
+    found = written(found, "candidates")
+    heads = found.where(F.col("in_root") > large).join(F.broadcast(sizes.where(F.col("n") > large).select("root", "first")), "root").where("x = first")
+    first = docs.sparkSession.sparkContext.broadcast({r["root"]: shingles(r["text"]) for r in heads.select("root", "text").collect()})
+    heads = found.where(F.col("in_root") > large).groupBy("root").agg(F.min("x").alias("x"))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots, bodies = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            yield batch.filter(pa.array([not alike(first.value[r], shingles(t), least_share) for r, t in zip(roots, bodies, strict=True)], pa.bool_()))
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, last = _Kept(least_share), None
+        for batch in batches:
+            stays = []
+            for r, t in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if r != last:
+                    kept, last = _Kept(least_share), r
+                stays.append(kept.takes(shingles(t)))
+            yield batch.select([1]).filter(pa.array(stays, pa.bool_()))
+
+    left = found.where(F.col("in_root") <= large)
+    if first.value:
+        left = left.unionByName(found.where(F.col("in_root") > large).mapInArrow(others, found.schema))
+    kept = left.repartition("root").sortWithinPartitions("root", "x").mapInArrow(greedy, found.select("x").schema)
+    return alone.union(kept).union(heads.select("x"))
+
+
+def deduplicated(docs: DataFrame, *, least_share: float | None = None, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one row for each component: of its least id, or with a null id if it has no other.
 
-    Each class gives its first row before components are looked up, so large groups meet only as partial minima.
+    least_share: a row stays unless a row that stays, of its component, has that share of shingles in common.
+    Each class (or text) gives its first row before components are looked up, so large groups meet only as partial minima.
     """
     marks, _, roots = linked(docs, doc_id=doc_id, text=text, **options)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "count")).alias("x")
-    classes = marks.groupBy("c", "doc_id", "k").count().groupBy("c").agg(least)
-    first = classes.join(roots, classes["c"] == roots["node"], "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("x").alias("x"))
+    unit = ["c"] if least_share is None else ["c", "t"]
+    classes = marks.groupBy(*unit, "doc_id", "k").count().groupBy(*unit).agg(least)
+    rooted = classes.join(roots, classes["c"] == roots["node"], "left").select(F.coalesce("root", "c").alias("root"), "x")
+    first = rooted.groupBy("root").agg(F.min("x").alias("x")) if least_share is None else _apart(rooted, docs, least_share, doc_id, text)
     keep = first.select(F.col("x.doc_id").alias("__d"), F.col("x.k").alias("__k"), F.col("x.count").alias("__n"))
     found = docs.join(keep, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(F.col(doc_id), F.col(text)) == F.col("__k")))
     # Only of fully repeated rows is more than one left.

@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
-from heliograph.llm import toxicity
+from heliograph.llm import simhash, toxicity
 from heliograph.llm.queries import tokenizer_path
 from tokenizers import Tokenizer
 
@@ -129,3 +129,24 @@ def test_stages_against_plain_python(spark, tables, tmp_path):
 
     again = corpus_pipeline.run(spark, path).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, pieces))
+
+
+@pytest.mark.parametrize("large", [2048, 3])
+def test_near_duplicates_share_their_shingles(spark, large, monkeypatch):
+    """Of a chain of links, only texts with 0.8 of a kept text's shingles go."""
+    monkeypatch.setattr(simhash._apart, "__defaults__", (large,))
+    r = random.Random(9)
+    words, rows = [f"w{r.randrange(10**6)}" for _ in range(300)], []
+    for i in range(24):
+        rows.append((i, " ".join(words)))
+        for _ in range(5):
+            words[r.randrange(300)] = f"v{r.randrange(10**6)}"
+    rows += [(30, rows[3][1]), (31, rows[9][1]), (None, rows[0][1]), (32, ""), (33, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {t: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.split()]}
+    kept = []
+    for d, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
+        if not any(not (a := sets[t] | sets[u]) or len(sets[t] & sets[u]) / len(a) >= 0.8 for _, u in kept):
+            kept.append((d, t))
+    got = simhash.deduplicated(docs, tau=16, seeds=(42,), least_share=0.8)
+    assert sorted(map(tuple, got.collect())) == sorted(kept) and 4 < len(kept) < 24
