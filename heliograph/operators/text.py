@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-QUERY = re.compile(r'([+-]?)(?:"([^"]*)"|([\w*]+))(?:~\d+)?(?:\^(\d+(?:\.\d+)?))?', re.U)
+QUERY = re.compile(r'([+-]?)(?:"([^"]*)"|([\w*]+))(?:~(\d+))?(?:\^(\d+(?:\.\d+)?))?', re.U)
 
 
 @dataclass
@@ -19,6 +19,12 @@ class Clause:
     never: bool = False
     prefix: bool = False
     boost: float = 1.0
+    slop: int = 0
+
+
+def once(value: Column, body) -> Column:
+    """body(value) with `value` computed once a row, not once for each element that a lambda in body looks at."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def terms_of(text):
@@ -31,10 +37,10 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def parse_query(text: str) -> list[Clause]:
-    """AND binds its neighbours, NOT and - exclude, quotes make phrases, * ends a prefix, ^n weighs."""
+    """AND binds its neighbours, NOT and - exclude, quotes make phrases, ~n lets n other words into one, * ends a prefix, ^n weighs."""
     out: list[Clause] = []
     both = never = False
-    for sign, phrase, word, boost in QUERY.findall(text or ""):
+    for sign, phrase, word, slop, boost in QUERY.findall(text or ""):
         if word == "AND":
             both = True
             if out:
@@ -48,7 +54,7 @@ def parse_query(text: str) -> list[Clause]:
         prefix = word.endswith("*")
         terms = re.findall(r"\w+", (phrase or word).lower().replace("*", " "))
         if terms:
-            out.append(Clause(terms, both or sign == "+", never or sign == "-", prefix, float(boost or 1)))
+            out.append(Clause(terms, both or sign == "+", never or sign == "-", prefix, float(boost or 1), int(slop or 0)))
         both = never = False
     return out
 
@@ -56,36 +62,34 @@ def parse_query(text: str) -> list[Clause]:
 def search(docs: DataFrame, query: str, fuzzy: bool = False, k1: float = K1, b: float = B) -> DataFrame:
     """id, score of docs (id, text) that match, by BM25: the sum over matching clauses.
 
-    One pass makes the query terms' postings; only those leave the scan. fuzzy: a
-    term also stands for terms at edit distance 1.
+    A row's terms are made once and counted for all clauses; the statistics are one row,
+    broadcast to a second pass that scores. Nothing is shuffled by document. fuzzy: a term also
+    stands for terms at edit distance 1.
     """
     clauses = parse_query(query)
     if not clauses:
         return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    tokens = docs.select("id", terms_of(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = None
-    for i, c in enumerate(clauses):
-        if len(c.terms) > 1:
-            spots = _phrase_spots(c.terms, F.array(*map(F.lit, c.terms)))
-            tf = F.size(spots)
-        else:
-            tf = F.size(F.filter("w", _matcher(c, fuzzy)))
-        part = tokens.select("id", "dl", F.lit(i).alias("clause"), tf.alias("tf")).where("tf > 0")
-        found = part if found is None else found.union(part)
-    df = found.groupBy("clause").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.element_at(F.array(*[F.lit(c.boost) for c in clauses]), F.col("clause") + 1)
-    bm25 = weight * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = found.join(F.broadcast(df), "clause").join(F.broadcast(stats), F.lit(True)).withColumn("s", bm25)
-    never = [i for i, c in enumerate(clauses) if c.never]
-    must = [i for i, c in enumerate(clauses) if c.must and not c.never]
-    out = scored.groupBy("id").agg(F.sum(F.when(~F.col("clause").isin(never), F.col("s"))).alias("score"), F.collect_set("clause").alias("hit"))
-    for i in must:
-        out = out.where(F.array_contains("hit", i))
-    for i in never:
-        out = out.where(~F.array_contains("hit", i))
-    return out.where("score is not null").select("id", "score")
+
+    def counted(w: Column) -> Column:
+        return F.struct(F.size(w).alias("dl"), F.array(*[F.size(_spots(w, c)) if len(c.terms) > 1 else F.size(F.filter(w, _matcher(c, fuzzy))) for c in clauses]).alias("tf"))
+
+    rows = docs.select("id", once(terms_of(F.coalesce("text", F.lit(""))), counted).alias("x")).select("id", "x.*")
+    tf = [F.get("tf", F.lit(i)) for i in range(len(clauses))]
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((t > 0).cast("long")).alias(f"df{i}") for i, t in enumerate(tf)])
+    hit = F.lit(False)
+    for t, c in zip(tf, clauses, strict=True):
+        hit |= (t > 0) if not c.never else F.lit(False)
+    found = rows.where(hit)
+    total = F.lit(0.0)
+    for i, (t, c) in enumerate(zip(tf, clauses, strict=True)):
+        if c.never:
+            found = found.where(t == 0)
+            continue
+        if c.must:
+            found = found.where(t > 0)
+        idf = F.ln(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        total += F.when(t > 0, c.boost * idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+    return found.join(F.broadcast(stats), F.lit(True)).select("id", total.alias("score"))
 
 
 def _matcher(c: Clause, fuzzy: bool):
@@ -97,11 +101,19 @@ def _matcher(c: Clause, fuzzy: bool):
     return lambda w: w == term
 
 
-def _phrase_spots(terms: list[str], phrase):
-    n = len(terms)
-    last = F.size("w") - n + 1
-    every = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda p: F.slice(F.col("w"), p, n) == phrase)
+def _spots(w: Column, c: Clause) -> Column:
+    """Where in w the phrase begins; with slop, up to so many other words may stand between its terms."""
+    n = len(c.terms)
+    phrase = F.array(*map(F.lit, c.terms))
+    starts = F.filter(F.transform(w, lambda x, i: F.when(x == c.terms[0], i + 1)), lambda p: p.isNotNull())
+    if not c.slop:
+        return F.filter(starts, lambda p: F.slice(w, p, n) == phrase)
+
+    def reached(part: Column) -> Column:
+        step = lambda at, t: F.when(at > 0, once(F.array_position(F.slice(part, at + 1, n + c.slop), t).cast("int"), lambda q: F.when(q > 0, at + q).otherwise(0))).otherwise(0)
+        return F.aggregate(F.slice(phrase, 2, n), F.lit(1), step) > 0
+
+    return F.filter(starts, lambda p: once(F.slice(w, p, n + c.slop), reached))
 
 
 def snippet(text, term: str, around: int = 30):
