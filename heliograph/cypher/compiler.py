@@ -30,6 +30,12 @@ class Var:
     columns: tuple[str, ...]  # all that belong to it; the first identifies it
     label: str | None = None
 
+    @property
+    def identity(self) -> tuple[str, ...]:
+        """The columns that tell entities apart: ids are of a label, so a node is its id and its label."""
+        c = self.columns[0]
+        return (c, f"{c}____label") if self.kind == "node" and f"{c}____label" in self.columns else (c,)
+
 
 class X:
     """A compiled expression. shadow: the same with typed nulls for lambda variables, so that it has a type by itself."""
@@ -141,7 +147,9 @@ class Compiler:
         if name in env.vars:
             v = env.vars[name]
             for label in n.labels:
-                if v.label != label:
+                if v.label is None and f"{name}____label" in v.columns:
+                    env.df = env.df.where(F.col(f"{name}____label") == label)
+                elif v.label != label:
                     env.df = env.df.join(self.catalog.scan(label).select(F.col("id").alias("__has")), F.col(name) == F.col("__has"), "left_semi") if label in self.catalog.nodes else env.df.where(F.lit(False))
             env.df = self.props(env.df, env, v, name, n.props)
             return name
@@ -175,9 +183,11 @@ class Compiler:
         name = n.var or self.new("n")
         if r.hops:
             target = self.new("t")
-            env.df = var_length(env.df, left, edges, r.hops[0], r.hops[1], target, path, distinct)
+            env.df = var_length(env.df, left, edges, r.hops[0], r.hops[1], target, path, distinct, r.var)
             if r.var:
-                raise CypherError("a variable-length relationship binds through a path variable")
+                if reverse:
+                    env.df = env.df.withColumn(r.var, F.reverse(r.var))
+                env.vars[r.var] = Var("value", (r.var,))
         else:
             ev = r.var or self.new("r")
             own = [c for c in edges.columns if c not in ("src", "dst", "__type", "__a", "__b", "__sl", "__dl")]
@@ -275,7 +285,7 @@ class Compiler:
         """(columns that identify an outer row for the body, the body run on the distinct such rows)."""
         used = names_in(body) if imports is None else set(imports)
         outer = [v for v in env.vars if v in used]
-        keys = [env.vars[v].columns[0] for v in outer]
+        keys = list(dict.fromkeys(c for v in outer for c in env.vars[v].identity))
         columns = list(dict.fromkeys(c for v in outer for c in env.vars[v].columns))
         if not outer:
             seed = Env(self.catalog.spark.range(1).select(F.lit(1).alias("__unit")))
@@ -416,8 +426,8 @@ class Compiler:
                 v = env.vars[e[1]]
                 cols = tuple(n + c[len(e[1]) :] if c.startswith(e[1]) else c for c in v.columns)
                 columns += [F.col(f"`{a}`").alias(b) for a, b in zip(v.columns, cols, strict=True) if b not in env.keep]
-                group.append(cols[0])
                 out_vars[n] = replace(v, columns=cols)
+                group += out_vars[n].identity
             else:
                 if n not in env.keep:
                     columns.append(x.col.alias(n))
@@ -426,6 +436,8 @@ class Compiler:
         aggs = []
         for i, c in enumerate(calls):
             args = [self.ex(a, env, {}) for a in c[3] or []]
+            if c[1].lower() == "count" and c[2] and (v := env.vars.get(c[3][0][1]) if c[3][0][0] == "var" else None) and len(v.identity) > 1:
+                args = [X(F.when(F.col(v.identity[0]).isNotNull(), F.struct(*v.identity)))]
             columns += [a.col.alias(f"__a{i}_{j}") for j, a in enumerate(args)]
             aggs.append(self.aggregate_call(c, i, [env.type_of(a) for a in args]).alias(f"__g{i}"))
         df = env.df.select(*[F.col(k) for k in env.keep], *columns)
@@ -534,6 +546,10 @@ class Compiler:
     def ex_cmp(self, e, env, scope):
         a, b = self.ex(e[2], env, scope), self.ex(e[3], env, scope)
         ta, tb, op = env.type_of(a), env.type_of(b), e[1]
+        ends = [env.vars[x[1]] for x in e[2:] if x[0] == "var" and x[1] not in scope and x[1] in env.vars]
+        if op in ("=", "<>") and len(ends) == 2 and all(len(v.identity) > 1 for v in ends):
+            same = (a.col == b.col) & (F.col(ends[0].identity[1]) == F.col(ends[1].identity[1]))
+            return X(same if op == "=" else ~same, kind=T.BooleanType())
         if op == "=~":
             return self.ap(lambda x, p: F.rlike(x, F.concat(F.lit("^(?:"), p, F.lit(")$"))), a, b, kind=T.BooleanType()) if S.is_text(ta) and S.is_text(tb) else X(F.lit(None).cast("boolean"), kind=T.BooleanType())
         if op == "=":

@@ -54,18 +54,22 @@ graph_text("empty_aggregate", "MATCH (c:Customer {c_name: 'nobody'}) RETURN coun
 graph_text("var_length", "MATCH (p:Part {p_size: 7})-[:PARENT*2..4]->(q:Part) RETURN id(p) AS p, id(q) AS q", "SELECT p_partkey AS p, q.p_partkey AS q FROM part p JOIN (VALUES (4), (8), (16)) d(k) ON p.p_partkey // k >= 1 JOIN (SELECT p_partkey FROM part) q ON q.p_partkey = p.p_partkey // k WHERE p_size = 7".replace("SELECT p_partkey AS p", "SELECT p.p_partkey AS p"))
 graph_text("var_length_distinct", "MATCH (p:Part {p_size: 7})-[:PARENT*1..3]->(q:Part) RETURN count(DISTINCT q) AS n", "SELECT count(DISTINCT p_partkey // k) AS n FROM part, (VALUES (2), (4), (8)) d(k) WHERE p_size = 7 AND p_partkey // k >= 1")
 graph_text("named_path", "MATCH p = (a:Part {p_size: 9})-[:PARENT*1..2]->(b:Part) RETURN id(a) AS a, id(b) AS b, length(p) AS hops, nodes(p)[1] AS via", "SELECT p_partkey AS a, p_partkey // k AS b, h::BIGINT AS hops, p_partkey // 2 AS via FROM part, (VALUES (2, 1), (4, 2)) d(k, h) WHERE p_size = 9 AND p_partkey // k >= 1")
-graph_text("shortest_path", "MATCH (a:Part {p_size: 9}), (b:Part {p_size: 11}) WHERE id(a) < 60 AND id(b) < 60 MATCH p = shortestPath((a)-[:PARENT*..3]-(b)) RETURN id(a) AS a, id(b) AS b, length(p) AS hops", """
-WITH RECURSIVE e AS (SELECT p_partkey AS x, p_partkey // 2 AS y FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey // 2, p_partkey FROM part WHERE p_partkey > 1),
-walk AS (SELECT p_partkey AS a, p_partkey AS b, 0 AS h FROM part WHERE p_size = 9 AND p_partkey < 60 UNION SELECT a, y, h + 1 FROM walk JOIN e ON b = x WHERE h < 3),
-pairs AS (SELECT p.p_partkey AS a, q.p_partkey AS b FROM part p, part q WHERE p.p_size = 9 AND q.p_size = 11 AND p.p_partkey < 60 AND q.p_partkey < 60)
-SELECT pairs.a, pairs.b, min(h)::BIGINT AS hops FROM pairs LEFT JOIN walk ON walk.a = pairs.a AND walk.b = pairs.b GROUP BY ALL""")
-# Every part of the size with each of its near ancestors: as many pairs as parts, at any size. shortest_path has the pairs that its SQL has.
-graph_text("shortest_path_whole", "MATCH (a:Part {p_size: 9})-[:PARENT*1..3]->(b:Part) MATCH p = shortestPath((a)-[:PARENT*..3]-(b)) RETURN id(a) AS a, id(b) AS b, length(p) AS hops", "SELECT p_partkey AS a, p_partkey // k AS b, h::BIGINT AS hops FROM part, (VALUES (2, 1), (4, 2), (8, 3)) d(k, h) WHERE p_size = 9 AND p_partkey // k >= 1")
+# Every part of the size with each of its near ancestors: as many pairs as parts, at any size.
+graph_text("shortest_path", "MATCH (a:Part {p_size: 9})-[:PARENT*1..3]->(b:Part) MATCH p = shortestPath((a)-[:PARENT*..3]-(b)) RETURN id(a) AS a, id(b) AS b, length(p) AS hops", "SELECT p_partkey AS a, p_partkey // k AS b, h::BIGINT AS hops FROM part, (VALUES (2, 1), (4, 2), (8, 3)) d(k, h) WHERE p_size = 9 AND p_partkey // k >= 1")
+graph_text(
+    "shortest_path_labels",
+    "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) MATCH (r:Region {r_name: 'ASIA'}) MATCH p = shortestPath((c)-[:IN_NATION|IN_REGION*..4]->(r)) RETURN id(c) AS c, length(p) AS hops",
+    "SELECT c_custkey AS c, CASE WHEN r_name = 'ASIA' THEN 2 END::BIGINT AS hops FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey WHERE EXISTS (FROM region WHERE r_name = 'ASIA')",
+)
+graph_text("var_length_labels", "MATCH (c:Customer)-[:IN_NATION|IN_REGION*2..2]->(r:Region) RETURN r.r_name AS region, count(*) AS n", "SELECT r_name AS region, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+graph_text("var_length_any", "MATCH (s:Supplier)-[e:BASED_IN|IN_REGION*1..2]->(x) RETURN labels(x)[0] AS label, size(e) AS hops, count(DISTINCT x) AS ends, count(*) AS n", "SELECT 'Nation' AS label, 1 AS hops, count(DISTINCT s_nationkey) AS ends, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'Region', 2, count(DISTINCT n_regionkey), count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+graph_text("exists_any_label", "MATCH (x) WHERE EXISTS { (x)-[:BASED_IN]->(:Nation) } OR EXISTS { (x)-[:IN_REGION]->(:Region) } RETURN labels(x)[0] AS label, count(*) AS n", "SELECT 'Supplier' AS label, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'Nation', count(*) FROM nation JOIN region ON n_regionkey = r_regionkey")
+graph_text("exists_filter_any_label", "MATCH (x) WHERE EXISTS { (x)-[:BASED_IN]->(:Nation) } RETURN count(*) AS n", "SELECT count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 graph_text("temporal_active", "MATCH (u:User)-[r:DID]->(t:EventType) WHERE temporal_active_at(r, $t) RETURN id(u) AS user, t.name AS doing", "WITH e AS (SELECT *, epoch_us(ts) // 1000 AS f, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS u FROM events) SELECT user_id AS user, event_type AS doing FROM e WHERE f <= 1705320000000 AND (u IS NULL OR u > 1705320000000)", t=1705320000000)
 graph_text("temporal_overlaps", "MATCH (u:User)-[r:DID]->(t:EventType) WHERE temporal_overlaps(r, $a, $b) AND r.value > 50 RETURN id(u) AS user, t.name AS doing, r.valid_from AS since", "WITH e AS (SELECT *, epoch_us(ts) // 1000 AS f, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS u FROM events) SELECT user_id AS user, event_type AS doing, f AS since FROM e WHERE f < 1705406400000 AND (u IS NULL OR u > 1705320000000) AND value > 50", a=1705320000000, b=1705406400000)
 graph_text("string_functions", "MATCH (c:Customer) RETURN id(c) AS id, toLower(c.c_name) AS lo, toUpper(c.c_mktsegment) AS up, left(c.c_name, 3) AS l, right(c.c_name, 4) AS r, substring(c.c_name, 2, 5) AS s, replace(c.c_name, '#', '-') AS x, reverse(c.c_mktsegment) AS rev, size(c.c_name) AS n, split(c.c_name, '#')[0] AS head, trim('  a ') AS t", "SELECT c_custkey AS id, lower(c_name) AS lo, upper(c_mktsegment) AS up, left(c_name, 3) AS l, right(c_name, 4) AS r, substr(c_name, 3, 5) AS s, replace(c_name, '#', '-') AS x, reverse(c_mktsegment) AS rev, strlen(c_name) AS n, string_split(c_name, '#')[1] AS head, 'a' AS t FROM customer")
 graph_text("math_functions", "MATCH (p:Part) RETURN id(p) AS id, abs(p.p_size - 25) AS a, ceil(p.p_retailprice) AS c, floor(p.p_retailprice) AS f, sign(p.p_size - 25) AS s, sqrt(p.p_size * p.p_size) AS q, round(log10(p.p_size) * 1000000) AS l, round(sin(p.p_size) * 1000000) AS sn, round(haversin(radians(p.p_size)) * 1000000) AS h, p.p_size % 7 AS m, p.p_size / 7 AS d, p.p_size / 0 AS z", "SELECT p_partkey AS id, abs(p_size - 25)::BIGINT AS a, ceil(p_retailprice)::DOUBLE AS c, floor(p_retailprice)::DOUBLE AS f, sign(p_size - 25)::BIGINT AS s, sqrt(p_size * p_size) AS q, round(log10(p_size) * 1000000) AS l, round(sin(p_size) * 1000000) AS sn, round((1 - cos(radians(p_size))) / 2 * 1000000) AS h, (p_size % 7)::BIGINT AS m, (p_size // 7)::BIGINT AS d, NULL::BIGINT AS z FROM part")
-graph_text("conversions", "MATCH (o:Order) WHERE id(o) <= 50 RETURN id(o) AS id, toInteger('3.7') AS i, toFloat('2.5') AS f, toBoolean('TRUE') AS b, toInteger('x') AS bad, toString(id(o)) AS s, toInteger(true) AS t, coalesce(null, o.o_orderstatus) AS c, valueType(o.o_totalprice) AS v", "SELECT o_orderkey AS id, 3::BIGINT AS i, 2.5::DOUBLE AS f, TRUE AS b, NULL::BIGINT AS bad, o_orderkey::VARCHAR AS s, 1::BIGINT AS t, o_orderstatus AS c, 'FLOAT' AS v FROM orders WHERE o_orderkey <= 50")
+graph_text("conversions", "MATCH (o:Order) RETURN id(o) AS id, toInteger('3.7') AS i, toFloat('2.5') AS f, toBoolean('TRUE') AS b, toInteger('x') AS bad, toString(id(o)) AS s, toInteger(true) AS t, coalesce(null, o.o_orderstatus) AS c, valueType(o.o_totalprice) AS v", "SELECT o_orderkey AS id, 3::BIGINT AS i, 2.5::DOUBLE AS f, TRUE AS b, NULL::BIGINT AS bad, o_orderkey::VARCHAR AS s, 1::BIGINT AS t, o_orderstatus AS c, 'FLOAT' AS v FROM orders")
 graph_text("list_functions", "MATCH (r:Region) WITH r, [x IN range(1, 10) WHERE x % (id(r) + 2) = 0 | x * x] AS l RETURN r.r_name AS region, size(l) AS n, head(l) AS h, last(l) AS t, size(tail(l)) AS k, l[-1] AS e, l[0..2] = l[..2] AS same, 25 IN l AS has, isEmpty(l) AS none", "SELECT r_name AS region, len(l) AS n, l[1] AS h, l[-1] AS t, greatest(len(l) - 1, 0) AS k, l[-1] AS e, TRUE AS same, list_contains(l, 25) AS has, len(l) = 0 AS none FROM (SELECT r_name, list_transform(list_filter(range(1, 11), lambda x: x % (r_regionkey + 2) = 0), lambda x: x * x) AS l FROM region)")
 graph_text("case_expressions", "MATCH (o:Order) RETURN CASE o.o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'else' END AS state, CASE WHEN o.o_totalprice > 200000 THEN 1 WHEN o.o_totalprice > 100000 THEN 2 ELSE 3 END AS class, count(*) AS n", "SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'else' END AS state, CASE WHEN o_totalprice > 200000 THEN 1 WHEN o_totalprice > 100000 THEN 2 ELSE 3 END::BIGINT AS class, count(*) AS n FROM orders GROUP BY 1, 2")
 graph_text("regex_match", "MATCH (p:Part) WHERE p.p_brand =~ 'Brand#[12][0-9]*' RETURN p.p_brand AS brand, count(*) AS n", "SELECT p_brand AS brand, count(*) AS n FROM part WHERE regexp_full_match(p_brand, 'Brand#[12][0-9]*') GROUP BY 1")
@@ -225,10 +229,9 @@ def timeseries_as_of(spark, sf_dir):
     return timeseries.as_of(ev, F.lit("2024-01-15").cast("timestamp_ntz"), by=["meta"], order=["ts", "event_id"], keep=["value"]).select("meta", "value", "versions")
 
 
-@registered("SELECT event_id AS id, round(greatest(0, 1 - (1706659200 - epoch(ts)) / 1209600.0) * 100000)::DOUBLE AS linear, round(pow(0.5, (1706659200 - epoch(ts)) / 604800.0) * 100000)::DOUBLE AS half, round(pow(1 + (1706659200 - epoch(ts)) / 604800.0, -1.0) * 100000)::DOUBLE AS power FROM events WHERE ts >= TIMESTAMP '2024-01-17'")
+@registered("SELECT event_id AS id, round(greatest(0, 1 - (1706659200 - epoch(ts)) / 1209600.0) * 100000)::DOUBLE AS linear, round(pow(0.5, (1706659200 - epoch(ts)) / 604800.0) * 100000)::DOUBLE AS half, round(pow(1 + (1706659200 - epoch(ts)) / 604800.0, -1.0) * 100000)::DOUBLE AS power FROM events")
 def computed_decay(spark, sf_dir):
-    ev = read(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-17'")
-    age = F.lit(1706659200) - F.unix_seconds(F.col("ts").cast("timestamp"))
+    ev = read(spark, sf_dir, "events")
     age = F.lit(1706659200.0) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     r = lambda c: F.round(c * 100000)
     return ev.select(F.col("event_id").alias("id"), r(decay.linear(age, 1209600)).alias("linear"), r(decay.exponential(age, 604800)).alias("half"), r(decay.power_law(age, 604800, 1.0)).alias("power"))
@@ -304,23 +307,13 @@ def redirect_edges(spark, sf_dir):
     return mutate.redirect_edges(edges, 2, 5, "out")
 
 
-def _detached(events):
-    ev = events.select(F.col("event_id").alias("id"), F.from_json("props", "k long").alias("doc"))
+@registered("SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def detach_document(spark, sf_dir):
+    ev = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.from_json("props", "k long").alias("doc"))
     _, docs, edges = mutate.detach_document(ev, "doc")
     return edges.join(docs.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "k")
 
 
-@registered("SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_id < 200")
-def detach_document(spark, sf_dir):
-    return _detached(read(spark, sf_dir, "events").where("event_id < 200"))
-
-
-@registered("SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
-def detach_document_whole(spark, sf_dir):
-    """All events; detach_document has those of its SQL."""
-    return _detached(read(spark, sf_dir, "events"))
-
-
 @registered("SELECT n_nationkey::BIGINT AS id, n_name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
 def attach_document(spark, sf_dir):
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_name", F.col("n_regionkey").cast("long").alias("r"))
@@ -329,23 +322,13 @@ def attach_document(spark, sf_dir):
     return out.select("id", "n_name", F.col("doc.r_name").alias("region"))
 
 
-def _updated(events):
-    ev = events.select(F.col("event_id").alias("id"), F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<bigint>").alias("tags"), F.lit(None).cast("long").alias("hits"))
+@registered("SELECT event_id AS id, list_transform(list_filter([1, 2, 3, event_id % 3], lambda x: x <> 2), lambda x: x)::BIGINT[]::VARCHAR AS tags, 1 + event_id AS hits FROM events")
+def document_updates(spark, sf_dir):
+    ev = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<bigint>").alias("tags"), F.lit(None).cast("long").alias("hits"))
     ev = ev.withColumn("tags", mutate.doc_pull(mutate.doc_push(F.col("tags"), F.col("id") % 3), F.lit(2)))
     return ev.select("id", F.concat(F.lit("["), F.array_join(F.col("tags").cast("array<string>"), ", "), F.lit("]")).alias("tags"), mutate.doc_inc(F.col("hits"), 1 + F.col("id")).alias("hits"))
 
 
-@registered("SELECT event_id AS id, list_transform(list_filter([1, 2, 3, event_id % 3], lambda x: x <> 2), lambda x: x)::BIGINT[]::VARCHAR AS tags, 1 + event_id AS hits FROM events WHERE event_id < 50")
-def document_updates(spark, sf_dir):
-    return _updated(read(spark, sf_dir, "events").where("event_id < 50"))
-
-
-@registered("SELECT event_id AS id, list_transform(list_filter([1, 2, 3, event_id % 3], lambda x: x <> 2), lambda x: x)::BIGINT[]::VARCHAR AS tags, 1 + event_id AS hits FROM events")
-def document_updates_whole(spark, sf_dir):
-    """All events; document_updates has those of its SQL."""
-    return _updated(read(spark, sf_dir, "events"))
-
-
 @registered(None)
 def encrypted_match(spark, sf_dir):
     """Equality on keyed tokens."""

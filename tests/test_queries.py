@@ -63,12 +63,12 @@ def test_entry_without_the_pipeline(tmp_path):
 def test_shortest_path_over_the_whole_table(spark):
     """Each part of the size is a start, those with ids of 60 and more too."""
     parts = {r["p_partkey"] for r in spark.read.parquet(f"{DATA}/part.parquet").where("p_size = 9 and p_partkey > 1").collect()}
-    got = QUERIES["shortest_path_whole"](spark, DATA).collect()
+    got = QUERIES["shortest_path"](spark, DATA).collect()
     assert {r["a"] for r in got} == parts and max(parts) >= 60
     assert {(r["a"], r["b"], r["hops"]) for r in got} == {(a, a >> h, h) for a in parts for h in (1, 2, 3) if a >> h}
 
 
-@pytest.mark.parametrize("name", ["detach_document_whole", "document_updates_whole"])
+@pytest.mark.parametrize("name", ["detach_document", "document_updates"])
 def test_documents_of_all_events(spark, name):
     ids = sorted(r["event_id"] for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id").collect())
     assert sorted(r["id"] for r in QUERIES[name](spark, DATA).select("id").collect()) == ids and len(ids) > 200
