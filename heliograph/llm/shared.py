@@ -19,26 +19,53 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is what the session names in `spark.checkpoint.dir`; only where that is
-    unset (tests, one machine) a temporary folder takes its place.
+    unset and Spark runs on one machine (tests) a temporary folder takes its place.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="heliograph-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: cuts the lineage
     and lets later stages read it again after executors are lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """How many tables written() has made and nobody has released."""
+    return len(_written)
+
+
+def released(spark: SparkSession, since: int, to: int | None = None) -> None:
+    """Deletes the tables from one mark to another, which nothing may read any more."""
+    conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    for path in _written[since:to]:
+        path_of(path).getFileSystem(conf).delete(path_of(path), True)
+    del _written[since:to]
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name that none of `columns` has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while f"__{name}".lower() in taken:
+        name += "_"
+    return f"__{name}"
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; no other character changes. Text of ASCII alone takes lower(), which is much faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

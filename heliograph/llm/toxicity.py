@@ -1,15 +1,20 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a text are its distinct words, lower-cased, and the first four and five
-characters of longer words, hashed into 2**bits buckets. A first pass over the
-labelled sample keeps the `n_terms` buckets whose document frequencies differ
-most between the classes; the machine then learns a weight and a factor vector
-for each of them, and with the factors every pairwise interaction:
+characters of longer words, hashed into 2**bits buckets. The machine has a weight and a
+factor vector for every bucket that the labelled sample uses, and with the factors every
+pairwise interaction:
 
     w0 + sum_i w_i + 1/2 sum_f ((sum_i v_if)^2 - sum_i v_if^2)
 
+No term is left out beforehand: a pair that is toxic only together, each of its terms alone
+being as common in either class, is learned like any other. Instead the fit is sparse.
+A weight, or a factor vector as a whole, shrinks in each step by a multiple (`least_weight`,
+`least_factor`) of the noise that its own gradient would have if residuals had random signs, so
+what the other terms explain already, or chance does, ends at exactly zero.
+
 The sample holds at most `most_per_class` labelled documents of each class, those
-with the lowest hash of the id; that bound also bounds what reaches the driver.
+with the lowest hash of the id, with their whole texts; that bound also bounds what reaches the driver.
 Each weighs in by the labels of its class that it stands for, so the share of toxic
 labels that the machine learns is that of all labels, at any size.
 Every document is scored over its whole text.
@@ -17,7 +22,8 @@ Every document is scored over its whole text.
 Defined results: null or empty text has no term and gets the score of w0;
 without labels of both classes the score is the share of toxic labels, next to 0 with
 none; repeated ids in `labels` count once, toxic if any says so; null labels are
-left out; repeated rows each get a row; an empty table gives an empty result.
+left out; repeated rows each get a row; an empty table gives an empty result; columns of
+the input keep their names and values, whatever they are.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import python_workers, held_out_fold
+from .shared import held_out_fold, python_workers, unused
 
 WORD = re.compile(r"\w+")
 
@@ -70,44 +76,28 @@ def rows_of(text: str | None, known: _Buckets) -> set[int]:
     return {i for w in set(WORD.findall(text.lower())) for i in known[w]} if text else set()
 
 
-def train(labelled: DataFrame, *, bits: int = 20, n_terms: int = 4096, factors: int = 8, steps: int = 150, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
+def train(labelled: DataFrame, *, bits: int = 20, factors: int = 8, steps: int = 100, rate: float = 0.1, least_weight: float = 3.5, least_factor: float = 2.0, seed: int = 7) -> Machine:
     """labelled: text, toxic (0 or 1), and labels of the class that a row stands for in `stands`, 1 without it; a bounded sample."""
     python_workers(labelled.sparkSession)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = _Buckets(None, bits), np.zeros((2, 1 << bits), np.int32)
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[toxic, [*rows_of(text, known)]] += 1
-        used = np.flatnonzero(total.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(total[k, used], pa.int64()) for k in (0, 1))], ["b", "n0", "n1"])
-
-    stands = F.max("stands") if "stands" in labelled.columns else F.lit(1.0)
-    sizes = {r["toxic"]: r for r in labelled.groupBy("toxic").agg(F.count("*").alias("c"), stands.alias("s")).collect()}
-    n0, n1 = (sizes[k]["c"] if k in sizes else 0 for k in (0, 1))
-    if not n0 or not n1:
-        share = n1 / (n0 + n1) if n0 + n1 else 0.0
-        return Machine(bits, float(np.log(max(share, 1e-300) / max(1 - share, 1e-300))), {}, np.zeros(0), np.zeros((0, factors)))
-    counts = labelled.select("text", "toxic").mapInArrow(count, "b long, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    p0, p1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
-    z = F.abs(p1 - p0) / F.sqrt(p0 * (1 - p0) / n0 + p1 * (1 - p1) / n1)
-    best = counts.where("n0 + n1 >= 3").select("b", z.alias("z")).where("z > 4").orderBy(F.desc("z"), "b").limit(n_terms).collect()
-    index = {r["b"]: i for i, r in enumerate(best)}
-
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Buckets(index, bits)
+        known = _Buckets(None, bits)
         for batch in batches:
-            found = [sorted(rows_of(t, known)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "x"])
-
-    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(pick, "toxic int, x array<int>").groupBy("toxic", "x").count().collect()
-    rows.sort(key=lambda r: (r["toxic"], r["x"]))
-    y, weight = np.array([r["toxic"] for r in rows], float), np.array([r["count"] * sizes[r["toxic"]]["s"] for r in rows], float)
-    # Either class weighs in by its share among all labels.
-    at = np.repeat(np.arange(len(rows)), [len(r["x"]) for r in rows])
-    x = np.array([i for r in rows for i in r["x"]], np.int64)
-    w, v, bias = _fit(y, weight / weight.sum(), at, x, len(index), factors, steps, rate, decay, seed)
-    return Machine(bits, bias, index, w, v)
+            found = [np.array(sorted(rows_of(t, known)), "<i4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["toxic", "stands", "x"])
+
+    stands = F.col("stands") if "stands" in labelled.columns else F.lit(1.0)
+    given = labelled.select(F.col("toxic").cast("int").alias("toxic"), stands.cast("double").alias("stands"), "text")
+    rows = sorted((r["toxic"], bytes(r["x"]), r["stands"]) for r in given.mapInArrow(pick, "toxic int, stands double, x binary").collect())
+    y, weight = np.array([r[0] for r in rows], float), np.array([r[2] for r in rows], float)
+    if len({*y.tolist()}) < 2:
+        share = float(y.mean()) if len(y) else 0.0
+        return Machine(bits, float(np.log(max(share, 1e-300) / max(1 - share, 1e-300))), {}, np.zeros(0), np.zeros((0, factors)))
+    at = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
+    buckets, x = np.unique(np.frombuffer(b"".join(r[1] for r in rows), "<i4"), return_inverse=True)
+    w, v, bias = _fit(y, weight / weight.sum(), at, x, len(buckets), factors, steps, rate, least_weight, least_factor, seed)
+    live = np.flatnonzero((w != 0) | (v != 0).any(1))
+    return Machine(bits, bias, {b: i for i, b in enumerate(buckets[live].tolist())}, w[live], v[live])
 
 
 def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -119,25 +109,48 @@ def _raw(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, x: np.ndarra
     return bias + np.bincount(at, w[x], n) + 0.5 * (s * s - _sums(at, v[x] ** 2, n)).sum(1), s
 
 
-def _fit(y, weight, at, x, n_terms, factors, steps, rate, decay, seed):
-    """Full-batch Adam on the weighted log loss with L2 decay."""
-    rng = np.random.default_rng(seed)
-    p = [np.zeros(1), np.zeros(n_terms), rng.normal(0, 0.01, (n_terms, factors))]
-    m, u = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+def _fit(y, weight, at, x, n_terms, factors, steps, rate, least_weight, least_factor, seed):
+    """Full-batch Adam with proximal steps on the weighted log loss; one factor at a time, to stay small."""
+    rng, n = np.random.default_rng(seed), len(y)
+    w, v = np.zeros(n_terms), rng.normal(0, 0.4 / np.sqrt(max(1.0, len(at) / n)), (n_terms, factors))
+    share = float((weight * y).sum() / weight.sum())
+    bias = float(np.log(share / (1 - share)))
+    m, u = [np.zeros(1), np.zeros(n_terms), np.zeros_like(v)], [np.zeros(1), np.zeros(n_terms), np.zeros(n_terms)]
+    noise = [np.zeros(n_terms), np.zeros(n_terms)]
+    rows, terms_ = at, x  # entries whose term has factors
     for t in range(1, steps + 1):
-        raw, s = _raw(p[0][0], p[1], p[2], at, x, len(y))
+        s = np.zeros((n, factors))
+        raw = bias + np.bincount(at, w[x], n)
+        for f in range(factors):
+            z = v[terms_, f]
+            s[:, f] = np.bincount(rows, z, n)
+            raw += 0.5 * (s[:, f] ** 2 - np.bincount(rows, z * z, n))
         g = (_sigmoid(raw) - y) * weight
-        ga = g[at]
-        grad = [
-            np.array([g.sum()]),
-            np.bincount(x, ga, n_terms) + decay * p[1],
-            _sums(x, ga[:, None] * (s[at] - p[2][x]), n_terms) + decay * p[2],
-        ]
+        grad = [np.array([g.sum()]), np.bincount(x, g[at], n_terms), np.zeros_like(v)]
+        square = [np.bincount(x, g[at] ** 2, n_terms), np.zeros(n_terms)]
+        for f in range(factors):
+            each = g[rows] * (s[rows, f] - v[terms_, f])
+            grad[2][:, f] = np.bincount(terms_, each, n_terms)
+            square[1] += np.bincount(terms_, each * each, n_terms)
+        first, second = 1 - 0.9**t, 1 - 0.99**t
         for k in range(3):
             m[k] = 0.9 * m[k] + 0.1 * grad[k]
-            u[k] = 0.999 * u[k] + 0.001 * grad[k] ** 2
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(u[k] / (1 - 0.999**t)) + 1e-10)
-    return p[1], p[2], float(p[0][0])
+            u[k] = 0.99 * u[k] + 0.01 * (grad[k] ** 2 if k < 2 else (grad[k] ** 2).mean(1))
+        for k in range(2):
+            noise[k] = 0.9 * noise[k] + 0.1 * square[k]
+        step = [rate / (np.sqrt(a / second) + 1e-6) for a in u]
+        bias -= float(step[0][0] * m[0][0] / first)
+        w = w - step[1] * m[1] / first
+        w = np.sign(w) * np.maximum(np.abs(w) - step[1] * least_weight * np.sqrt(noise[0] / first), 0)
+        alive = (v != 0).any(1)
+        v = np.where(alive[:, None], v - step[2][:, None] * m[2] / first, 0)
+        # Factors begin free and shrink fully from step 20 on: only after some steps does a pair stand out.
+        much = step[2] * least_factor * min(1.0, t / 20) * np.sqrt(noise[1] / first)
+        v *= np.maximum(1 - much / np.maximum(np.sqrt((v * v).sum(1)), 1e-12), 0)[:, None]
+        keep = (v != 0).any(1)[terms_]
+        if keep.sum() < 0.8 * len(keep):
+            rows, terms_ = rows[keep], terms_[keep]
+    return w, v, bias
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -166,7 +179,7 @@ def score(docs: DataFrame, machine: Machine, *, doc_id: str = "doc_id", text: st
     return scored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), machine, "score").select("doc_id", "score")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, most_per_class: int = 8000, folds: int = 5, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, most_per_class: int = 3000, folds: int = 5, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
     """text, toxic, stands (labels of its class for each in the sample) of the sample: never documents of fold 0."""
     ids = (
         labels.select(F.col(doc_id).alias("i"), F.col(toxic).cast("int").alias("toxic"))
@@ -183,7 +196,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, most_per_class: int =
     return docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(picked), "i").select("text", "toxic", "stands")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, train_docs: DataFrame | None = None, most_per_class: int = 8000, **columns) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, train_docs: DataFrame | None = None, most_per_class: int = 3000, **columns) -> DataFrame:
     """doc_id, score in 0 to 1, predicted (1 if score >= 0.5). train_docs: where labelled texts are, if not in docs."""
     sample = labelled_sample(docs if train_docs is None else train_docs, labels, most_per_class=most_per_class, **columns)
     return score(docs, train(sample), **columns).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -192,4 +205,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, train_docs: DataFrame | None
 def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, text: str = "text", **options) -> DataFrame:
     """docs that score below the threshold; the machine learns from those of them that are labelled."""
     machine = train(labelled_sample(docs, labels, text=text, **options))
-    return scored(docs, machine, "__toxicity", text=text).where(F.col("__toxicity") < threshold).drop("__toxicity")
+    name = unused(docs.columns, "toxicity")
+    return scored(docs, machine, name, text=text).where(F.col(name) < threshold).select([F.col(f"`{c}`") for c in docs.columns])

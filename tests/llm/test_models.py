@@ -49,16 +49,37 @@ def test_toxic_share_is_that_of_all_labels(spark):
         assert abs(got["score"] - sum(learnt) / len(learnt)) < 0.01 and got["predicted"] == 0
 
 
-def test_factors_carry_interactions():
-    """Two terms that are toxic only together need the pairwise part."""
-    x = [[0, 1], [0], [1], [2], [0, 2], [1, 2], [0, 1, 2]]
-    y = np.array([1.0, 0, 0, 0, 0, 0, 1])
-    at, flat = np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate(x)
-    w, v, b = toxicity._fit(y, np.full(len(x), 1 / len(x)), at, flat, 3, 4, 1500, 0.05, 1e-6, 1)
-    raw, _ = toxicity._raw(b, w, v, at, flat, len(x))
-    assert ((raw > 0) == (y > 0)).all()
-    brute = [b + sum(w[i] for i in r) + sum(v[i] @ v[j] for n, i in enumerate(r) for j in r[n + 1 :]) for r in x]
-    assert np.allclose(raw, brute)
+def exclusive_rows(n=1500, fill=20):
+    """Toxic if both or neither of two words occur: no word tells anything by itself."""
+    r, rows = random.Random(1), []
+    for i in range(n):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = [f"w{r.randrange(200)}" for _ in range(fill)] + ["aye"] * a + ["bee"] * b
+        r.shuffle(words)
+        rows.append((i, " ".join(words), int(a == b)))
+    return rows
+
+
+def test_interactions_of_terms_that_are_neutral_alone(spark):
+    """The whole operator, and its scores against the machine's formula summed pair by pair."""
+    rows = exclusive_rows()
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    truth = {r[0]: r[2] for r in rows}
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(held) > 200 and sum(got[i]["predicted"] == truth[i] for i in held) / len(held) > 0.95
+    machine = toxicity.train(toxicity.labelled_sample(docs, labels))
+    for i, text, _ in rows[:40]:
+        x = sorted({machine.index[t] for w in set(text.split()) for t in toxicity.terms(w, machine.bits) if t in machine.index})
+        raw = machine.bias + sum(machine.w[j] for j in x) + sum(float(machine.v[j] @ machine.v[k]) for n, j in enumerate(x) for k in x[n + 1 :])
+        assert math.isclose(got[i]["score"], 1 / (1 + math.exp(-raw)), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_toxic_rows_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "fine words", 0.5), (2, "fine words", 0.7)], "doc_id long, text string, __toxicity double")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and sorted(r["__toxicity"] for r in kept.collect()) == [0.5, 0.7]
 
 
 def test_toxicity_of_messy_tables(spark):
