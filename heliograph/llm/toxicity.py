@@ -11,7 +11,8 @@ No term is left out beforehand: a pair that is toxic only together, each of its
 being as common in either class, is learned like any other. Instead the fit is sparse.
 A weight, or a factor vector as a whole, shrinks in each step by a multiple (`least_weight`,
 `least_factor`) of the noise that its own gradient would have if residuals had random signs, so
-what the other terms explain already, or chance does, ends at exactly zero.
+what the other terms explain already, or chance does, ends at exactly zero. In the last `refit`
+steps the terms that are left learn without shrinking.
 
 The sample holds at most `most_per_class` labelled documents of each class, those
 with the lowest hash of the id, with their whole texts; that bound also bounds what reaches the driver.
@@ -76,7 +77,7 @@ def rows_of(text: str | None, known: _Buckets) -> set[int]:
     return {i for w in set(WORD.findall(text.lower())) for i in known[w]} if text else set()
 
 
-def train(labelled: DataFrame, *, bits: int = 20, factors: int = 8, steps: int = 100, rate: float = 0.1, least_weight: float = 3.5, least_factor: float = 2.0, seed: int = 7) -> Machine:
+def train(labelled: DataFrame, *, bits: int = 20, factors: int = 8, steps: int = 100, refit: int = 30, rate: float = 0.1, least_weight: float = 4.0, least_factor: float = 2.0, seed: int = 7) -> Machine:
     """labelled: text, toxic (0 or 1), and labels of the class that a row stands for in `stands`, 1 without it; a bounded sample."""
     python_workers(labelled.sparkSession)
 
@@ -95,7 +96,7 @@ def train(labelled: DataFrame, *, bits: int = 20, factors: int = 8, steps: int =
         return Machine(bits, float(np.log(max(share, 1e-300) / max(1 - share, 1e-300))), {}, np.zeros(0), np.zeros((0, factors)))
     at = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
     buckets, x = np.unique(np.frombuffer(b"".join(r[1] for r in rows), "<i4"), return_inverse=True)
-    w, v, bias = _fit(y, weight / weight.sum(), at, x, len(buckets), factors, steps, rate, least_weight, least_factor, seed)
+    w, v, bias = _fit(y, weight / weight.sum(), at, x, len(buckets), factors, steps, refit, rate, least_weight, least_factor, seed)
     live = np.flatnonzero((w != 0) | (v != 0).any(1))
     return Machine(bits, bias, {b: i for i, b in enumerate(buckets[live].tolist())}, w[live], v[live])
 
@@ -109,7 +110,7 @@ def _raw(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, x: np.ndarra
     return bias + np.bincount(at, w[x], n) + 0.5 * (s * s - _sums(at, v[x] ** 2, n)).sum(1), s
 
 
-def _fit(y, weight, at, x, n_terms, factors, steps, rate, least_weight, least_factor, seed):
+def _fit(y, weight, at, x, n_terms, factors, steps, refit, rate, least_weight, least_factor, seed):
     """Full-batch Adam with proximal steps on the weighted log loss; one factor at a time, to stay small."""
     rng, n = np.random.default_rng(seed), len(y)
     w, v = np.zeros(n_terms), rng.normal(0, 0.4 / np.sqrt(max(1.0, len(at) / n)), (n_terms, factors))
@@ -119,6 +120,7 @@ def _fit(y, weight, at, x, n_terms, factors, steps, rate, least_weight, least_fa
     noise = [np.zeros(n_terms), np.zeros(n_terms)]
     rows, terms_ = at, x  # entries whose term has factors
     for t in range(1, steps + 1):
+        shrink = float(t <= steps - refit)
         s = np.zeros((n, factors))
         raw = bias + np.bincount(at, w[x], n)
         for f in range(factors):
@@ -140,12 +142,13 @@ def _fit(y, weight, at, x, n_terms, factors, steps, rate, least_weight, least_fa
             noise[k] = 0.9 * noise[k] + 0.1 * square[k]
         step = [rate / (np.sqrt(a / second) + 1e-6) for a in u]
         bias -= float(step[0][0] * m[0][0] / first)
-        w = w - step[1] * m[1] / first
-        w = np.sign(w) * np.maximum(np.abs(w) - step[1] * least_weight * np.sqrt(noise[0] / first), 0)
+        open_ = (w != 0) | (shrink > 0)
+        w = np.where(open_, w - step[1] * m[1] / first, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - shrink * step[1] * least_weight * np.sqrt(noise[0] / first), 0)
         alive = (v != 0).any(1)
         v = np.where(alive[:, None], v - step[2][:, None] * m[2] / first, 0)
         # Factors begin free and shrink fully from step 20 on: only after some steps does a pair stand out.
-        much = step[2] * least_factor * min(1.0, t / 20) * np.sqrt(noise[1] / first)
+        much = shrink * step[2] * least_factor * min(1.0, t / 20) * np.sqrt(noise[1] / first)
         v *= np.maximum(1 - much / np.maximum(np.sqrt((v * v).sum(1)), 1e-12), 0)[:, None]
         keep = (v != 0).any(1)[terms_]
         if keep.sum() < 0.8 * len(keep):
