@@ -5,13 +5,17 @@ it. A text is parsed by each automaton into longest matches; a language whose
 text resembles it needs few phrases. A phrase costs log2 of the automaton's text
 length in bits, and the language with the fewest bits per symbol wins.
 
-Symbols are lower-cased letters, with one space for any run of others. Texts are
-parsed in stretches of `stretch` symbols, all stretches and languages in step, by
-numpy: one table lookup per symbol and language, in which the transition and
-whether a new phrase begins are one number.
+Symbols are lower-cased letters, with one space for any run of others. A text is
+parsed whole, by numpy: its stretches of `stretch` symbols first run side by side, each as if a
+phrase began there; then each runs again from the state that the one before it ends in, until
+it meets the states of the first run, and so on until nothing changes. The phrases are those
+of one pass over the text.
 
-The automata learn a documented sample, at most `sample_chars` symbols of each
-language from the texts with the lowest hash of the id, of a longer text its
+An automaton's transitions are a table of states by the letters of its own sample while that has
+at most `CELLS` cells, and sorted pairs of state and letter beyond (many letters); both give the same.
+
+The automata learn a documented sample: about `most_docs` labelled documents of each language, those
+with the lowest hash of the id, and at most `sample_chars` symbols of these, of a longer text its
 beginning; predictions read every text whole.
 
 Defined results: text that is null or has no letter gives `und` with score 0.0;
@@ -32,7 +36,9 @@ from pyspark.sql import functions as F
 from .shared import python_workers, held_out_fold
 
 NEW = 1 << 30  # flag: this symbol begins a phrase
-SPACE, PAD, OTHER = 0, 1, 2
+PAD, OTHER = 0, 1
+#: Most cells of a table, of 4 bytes each.
+CELLS = 1 << 22
 
 _folded: list[np.ndarray] = []
 _tables: dict[int, Tables] = {}
@@ -89,35 +95,79 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return steps
 
 
+class Automaton:
+    """One language's automaton: state and symbol to the next state, with NEW where a phrase begins."""
+
+    def __init__(self, symbols: np.ndarray, n_symbols: int, cells: int = CELLS) -> None:
+        """symbols: numbers below n_symbols, none of them PAD or OTHER."""
+        letters = np.unique(symbols)
+        self.local = np.full(n_symbols, OTHER, np.int32)
+        self.local[PAD] = PAD
+        self.local[letters] = 2 + np.arange(len(letters))
+        self.width = width = 2 + len(letters)
+        self.bits = np.log2(max(2, len(symbols)))
+        steps = suffix_automaton(self.local[symbols].tolist())
+        # Where a state has no transition, the phrase ends and the root takes the symbol.
+        self.first = np.full(width, NEW, np.int32)
+        for c, t in steps[0].items():
+            self.first[c] = t | NEW
+        rows = np.fromiter((i for i, d in enumerate(steps) for _ in d), np.int64)
+        cols = np.fromiter((c for d in steps for c in d), np.int64)
+        to = np.fromiter((t for d in steps for t in d.values()), np.int32)
+        inner = rows > 0
+        keys, to = rows[inner] * width + cols[inner], to[inner]
+        self.table = None
+        if len(steps) * width <= cells:
+            table = np.tile(self.first, (len(steps), 1))
+            table[:, PAD] = np.arange(len(steps))
+            self.table = table.reshape(-1)
+            self.table[keys] = to
+        else:
+            order = np.argsort(keys)
+            self.keys, self.to = keys[order], to[order]
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[state * self.width + symbol]
+        key = state.astype(np.int64) * self.width + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+        return np.where(symbol == PAD, state, np.where(known, self.to[at] if len(self.keys) else 0, self.first[symbol])).astype(np.int32)
+
+    def begun(self, steps: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases begun in each stretch (column of steps). follows: whether the stretch goes on from the one before it."""
+        steps = self.local[steps]
+        seen, state = np.empty_like(steps), np.zeros(steps.shape[1], np.int32)
+        for j, row in enumerate(steps):
+            seen[j] = got = self.step(state, row)
+            state = got & (NEW - 1)
+        entered = np.zeros(steps.shape[1], np.int32)
+        while True:
+            ends = np.where(follows, np.roll(seen[-1] & (NEW - 1), 1), 0)
+            lanes = np.flatnonzero(ends != entered)
+            if not len(lanes):
+                return (seen >> 30).sum(0)
+            entered[lanes] = state = ends[lanes]
+            for j, row in enumerate(steps):
+                got = self.step(state, row[lanes])
+                state = got & (NEW - 1)
+                apart = state != seen[j, lanes] & (NEW - 1)
+                seen[j, lanes] = got
+                if not apart.all():
+                    lanes, state = lanes[apart], state[apart]
+                    if not len(lanes):
+                        break
+
+
 class Tables:
-    """The automata of all languages as one transition table."""
+    """The automata of all languages, over one numbering of the letters."""
 
-    def __init__(self, samples: list[np.ndarray]) -> None:
-        letters = np.unique(np.concatenate([s for s in samples] or [np.zeros(0, np.int32)]))
-        letters = letters[letters > 0]
+    def __init__(self, samples: list[np.ndarray], cells: int = CELLS) -> None:
+        letters = np.unique(np.concatenate([np.zeros(1, np.int32), *samples]))
         self.symbol = np.full(0x110000, OTHER, np.int32)
-        self.symbol[0] = SPACE
-        self.symbol[letters] = 3 + np.arange(len(letters))
-        self.width, self.roots, self.bits, parts, base = 3 + len(letters), [], [], [], 0
-        for s in samples:
-            steps = suffix_automaton(self.symbol[s].tolist())
-            root = base
-            # Where a state has no transition, the phrase ends and the root takes the symbol.
-            first = np.full(self.width, root | NEW, np.int32)
-            for c, t in steps[0].items():
-                first[c] = (root + t) | NEW
-            table = np.tile(first, (len(steps), 1))
-            table[:, PAD] = np.arange(root, root + len(steps))
-            rows = np.fromiter((i for i, d in enumerate(steps) for _ in d), np.int64)
-            cols = np.fromiter((c for d in steps for c in d), np.int64)
-            to = np.fromiter((t for d in steps for t in d.values()), np.int64)
-            inner = rows > 0
-            table[rows[inner], cols[inner]] = root + to[inner]
-            parts.append(table)
-            self.roots.append(root)
-            self.bits.append(np.log2(max(2, len(s))))
-            base += len(steps)
-        self.table = np.concatenate(parts).reshape(-1)
+        self.symbol[letters] = 2 + np.arange(len(letters))
+        self.automata = [Automaton(self.symbol[s], 2 + len(letters), cells) for s in samples]
+        self.bits = [a.bits for a in self.automata]
 
     def phrases(self, texts: list[np.ndarray], stretch: int) -> np.ndarray:
         """Phrases that each language (column) needs for each text (row)."""
@@ -129,17 +179,10 @@ class Tables:
             at += n * stretch
         steps = np.ascontiguousarray(grid.T)
         owner = np.repeat(np.arange(len(texts)), sizes)
-        out = np.zeros((len(texts), len(self.roots)))
-        for k, root in enumerate(self.roots):
-            state = np.full(len(grid), root, np.int32)
-            count = np.zeros(len(grid), np.int32)
-            for row in steps:
-                state *= self.width
-                state += row
-                got = self.table[state]
-                count += got >> 30
-                state = got & (NEW - 1)
-            out[:, k] = np.bincount(owner, count, len(texts))
+        follows = np.diff(owner, prepend=-1) == 0
+        out = np.zeros((len(texts), len(self.automata)))
+        for k, a in enumerate(self.automata):
+            out[:, k] = np.bincount(owner, a.begun(steps, follows), len(texts))
         return out
 
 

@@ -72,7 +72,7 @@ def chunks(docs: DataFrame, held: str, *, chunk_tokens: int, doc_id: str = "doc_
     Made anew, the same way, wherever it is read. Rows come straight to the one Python
     worker that cuts chunks and goes on with them, for the executor's memory.
     """
-    return docs.select(F.col(doc_id).cast("long"), F.col(text), F.col(held)).rdd.mapPartitions(partial(_chunked, chunk_tokens))
+    return docs.select(F.col(doc_id), F.col(text), F.col(held)).rdd.mapPartitions(partial(_chunked, chunk_tokens))
 
 
 def _chunked(chunk_tokens: int, rows: Iterator) -> Iterator:
@@ -359,7 +359,8 @@ def _join(total: int, rows: Iterator) -> Iterator:
         yield from zip(ids, held, n, known, [total] * len(ids), base, score.tolist(), strict=True)
 
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Columns after doc_id, which has the type of the input.
+RESULT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _as_is(x: int) -> int:
@@ -379,12 +380,13 @@ def _side_by_side(a: RDD, b: RDD, n: int) -> RDD:
 
 
 def katz_scores(docs: DataFrame, held: str, *, k: int = 5, chunk_tokens: int = 700_000, part_tokens: int = 1_200_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """RESULT for every document; rows whose boolean column `held` is true are not trained on."""
+    """doc_id and RESULT for every document; rows whose boolean column `held` is true are not trained on."""
     spark = docs.sparkSession
     python_workers(spark, 500)
+    result = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, {RESULT}"
     shape = docs.agg(F.count("*").alias("docs"), F.count(F.when(~F.col(held), 1)).alias("trained"), F.sum(F.octet_length(F.col(text))).alias("bytes")).first()
     if not shape["docs"]:
-        return spark.createDataFrame([], RESULT)
+        return spark.createDataFrame([], result)
     rows = chunks(docs, held, chunk_tokens=chunk_tokens, doc_id=doc_id, text=text)
     fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -414,4 +416,4 @@ def katz_scores(docs: DataFrame, held: str, *, k: int = 5, chunk_tokens: int = 7
     # Keys are a partition and a chunk's number in it; all of a partition's go together.
     per_chunk = both.mapPartitions(partial(_documents, u1, n_words, start))
     joined = _side_by_side(per_chunk, scores, rows.getNumPartitions()).mapPartitions(partial(_join, total))
-    return spark.createDataFrame(joined, RESULT)
+    return spark.createDataFrame(joined, result)

@@ -1,18 +1,20 @@
 """Packing into token windows by Karmarkar-Karp multiway differencing.
 
-A document is its token ids and an end id. What fills a whole window becomes one;
-the rest is cut into pieces of at most `most_piece` ids. Pieces are dealt by a
-hash into groups of about `group_windows` windows, and in each group k-way
+A document is its token ids and an end id. What fills a whole window becomes one
+and meets no other piece; the rest is cut into pieces of at most `most_piece` ids. Pieces are
+dealt by a hash of their number into groups of about `group_windows` windows, so equal
+rows spread like any others, and in each group k-way
 largest differencing balances them: partial partitions wait in a heap by their
 imbalance, and the two worst are merged with opposing orders, fullest with
 emptiest, until one is left. k starts at the fewest windows that can hold the group
 and rises by one while the fullest exceeds the capacity.
 
-Tokenizing runs once: pieces go to a table in the shared folder before grouping.
+Tokenizing runs once: pieces, numbered, go to a table in the shared folder before grouping, so a
+task that is run again deals the same ones.
 
 Defined results: null or empty text is its end id alone; null and repeated ids
-are documents like any other; an empty table gives an empty result; other
-columns are not read.
+are documents like any other, ids keep their type, of whatever it is; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,16 +24,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
 from .shared import python_workers, written
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-PACKED = PIECES + ", sequence_id long, offset long"
+#: Columns after doc_id, which has the type of the input. `row` numbers the pieces.
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, row long"
+PACKED = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Sequence ids of whole windows are a piece's number above this; those of groups are below.
+WHOLE = 1 << 61
 
 
 def cut(n: int, capacity: int, most_piece: int) -> list[tuple[int, int]]:
@@ -53,19 +58,23 @@ def pieces(docs: DataFrame, tokenizer: str, *, end: int = 1, capacity: int = 204
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens.loaded(tokenizer, spaced=True)
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, texts = batch.column(0), batch.column(1)
             for a, b in tokens.text_slices(texts):
                 flat, sizes = tokens.with_end(*t.ids(texts[a:b]), end)
                 raw, out = memoryview(flat.astype("<u4").tobytes()), []
                 at = 0
-                for d, n in zip(ids[a:b], sizes.tolist(), strict=True):
+                for d, n in enumerate(sizes.tolist(), a):
                     out += [(d, s, m, zlib.crc32(raw[4 * (at + s) : 4 * (at + s + m)]), n) for s, m in cut(n, capacity, most_piece)]
                     at += n
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                owner, *cols = (pa.array(c, pa.int64()) for c in zip(*out, strict=True))
+                rows = pa.array(np.arange(number, number + len(out)), pa.int64())
+                number += len(out)
+                yield pa.RecordBatch.from_arrays([ids.take(owner), *cols, rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, PIECES)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, f"doc_id {kind}, {PIECES}")
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -112,25 +121,22 @@ def balance(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack(docs: DataFrame, tokenizer: str, *, end: int = 1, capacity: int = 2048, most_piece: int = 512, group_windows: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: PACKED. sequence_id is unique, offset gapless from 0 in it."""
+    """One row per piece: doc_id and PACKED. sequence_id is unique, offset gapless from 0 in it."""
     cutted = written(pieces(docs, tokenizer, end=end, capacity=capacity, most_piece=most_piece, doc_id=doc_id, text=text), "pieces")
     part = cutted.where(F.col("length") < capacity)
     total = part.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / (group_windows * capacity)))
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
-    dealt = cutted.withColumn("g", group)
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        g, sizes = int(pdf["g"].iloc[0]), pdf["length"].to_numpy()
-        full = np.flatnonzero(sizes == capacity)
-        rest = np.flatnonzero(sizes < capacity)
-        seq, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        seq[full] = np.arange(len(full))
-        if len(rest):
-            for n, p in enumerate(balance(sizes[rest].tolist(), capacity)):
-                at = rest[p]
-                seq[at], offset[at] = len(full) + n, np.cumsum(sizes[at]) - sizes[at]
-        return pdf.drop(columns="g").assign(sequence_id=seq + (g << 32), offset=offset)
-
-    return dealt.groupBy("g").applyInPandas(fill, PACKED)
+    whole = cutted.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("row") + F.lit(WHOLE), "offset": F.lit(0).cast("long")}).drop("row")
+
+    def fill(group: pa.Table) -> pa.Table:
+        group = group.sort_by("row")
+        sizes = group.column("length").to_numpy()
+        seq, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        for n, p in enumerate(balance(sizes.tolist(), capacity)):
+            seq[p], offset[p] = n, np.cumsum(sizes[p]) - sizes[p]
+        seq += group.column("g")[0].as_py() << 32
+        return group.drop_columns(["row", "g"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset))
+
+    kind = cutted.schema["doc_id"].dataType.simpleString()
+    dealt = part.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    return dealt.groupBy("g").applyInArrow(fill, f"doc_id {kind}, {PACKED}").unionByName(whole)

@@ -12,7 +12,9 @@ writer commits the files, so a retried task leaves no second copy, and any store
 that Spark writes to can hold them. The rank table is a file of its own.
 
 Defined results: null or empty text is its end id alone; null ids come first;
-equal ids are ordered by their tokens; an empty table gives empty files; other
+equal ids are ordered by their number of tokens, then by a hash of these; equal rows and null
+ids are split over files like any others; ids are whole numbers of at most 64 bits, and any
+other type is an error before anything runs; an empty table gives empty files; other
 columns are not read.
 """
 
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import tokens
 from .shared import python_workers, shared_dir, written
@@ -71,21 +74,26 @@ def decode(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, *, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, ids: little-endian unsigned 32-bit ids, or 16-bit where the vocabulary allows."""
+    """doc_id, n, ids, row: little-endian unsigned 32-bit ids, or 16-bit where the vocabulary allows; row numbers the documents."""
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        raise TypeError(f"{doc_id} holds {docs.schema[doc_id].dataType.simpleString()}: the files keep ids as 64-bit numbers")
     python_workers(docs.sparkSession)
     kind = _width(tokenizer)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens.loaded(tokenizer, spaced=False)
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in tokens.text_slices(texts):
                 flat, sizes = tokens.with_end(*t.ids(texts[a:b]), end)
                 raw, ends = flat.astype(kind).tobytes(), np.concatenate([[0], np.cumsum(sizes)]) * kind.itemsize
                 rows = [raw[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "n", "ids"])
+                row = pa.array(np.arange(number, number + b - a), pa.int64())
+                number += b - a
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary()), row], ["doc_id", "n", "ids", "row"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, "doc_id long, n long, ids binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, "doc_id long, n long, ids binary, row long")
 
 
 def _width(tokenizer: str) -> np.dtype:
@@ -142,8 +150,10 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, *, end: int = 1, blo
         if held:
             yield flush()
 
-    in_order = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
-    in_order.mapInArrow(block, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    # The row number splits a range of equal ids, even of equal rows.
+    order_by = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.xxhash64("ids"), F.col("row")]
+    in_order = ids.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    in_order.select("doc_id", "n", "ids").mapInArrow(block, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     spark.createDataFrame([(np.array(order, "<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
 
 

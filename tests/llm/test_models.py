@@ -2,6 +2,7 @@
 
 import math
 import random
+import resource
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -104,12 +105,25 @@ def phrases(text, learned):
     return n
 
 
-def test_cross_parsing_counts():
+@pytest.mark.parametrize("stretch,cells", [(1000, 1 << 22), (7, 1 << 22), (256, 1 << 22), (16, 0)])
+def test_cross_parsing_counts(stretch, cells):
+    """Whole texts, in one stretch and in many, with tables and with sorted transitions; periodic texts never meet the first run."""
     r = random.Random(5)
-    learned = ["".join(r.choice("abc") for _ in range(300)), "".join(r.choice("abd") for _ in range(200))]
-    t = language_id.Tables([language_id.normalised(x) for x in learned])
-    texts = ["".join(r.choice("abcde") for _ in range(n)) for n in (1, 2, 50, 120)]
-    assert t.phrases([language_id.normalised(x) for x in texts], 1000).tolist() == [[phrases(x, y) for y in learned] for x in texts]
+    learned = ["".join(r.choice("abc") for _ in range(300)), "".join(r.choice("abd") for _ in range(200)), "ab" * 150, "a" * 90]
+    t = language_id.Tables([language_id.normalised(x) for x in learned], cells)
+    texts = ["".join(r.choice("abcde") for _ in range(n)) for n in (1, 2, 50, 120, 700, 2000)] + ["ab" * 500, "a" * 777, "ab ab" * 90]
+    assert t.phrases([language_id.normalised(x) for x in texts], stretch).tolist() == [[phrases(x, y) for y in learned] for x in texts]
+
+
+def test_cross_parsing_of_many_letters():
+    """3 000 letters: 40 000 symbols take well under a gigabyte, and parse like the brute parser."""
+    r = random.Random(6)
+    learned = "".join(chr(0x4E00 + min(2999, int(r.expovariate(1 / 500)))) for _ in range(40_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    t = language_id.Tables([language_id.normalised(learned)])
+    text = learned[500:900] + "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(100))
+    assert t.phrases([language_id.normalised(text)], 64).tolist() == [[phrases(text, learned)]]
+    assert t.automata[0].table is None and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
 
 
 def test_language_prediction(spark):

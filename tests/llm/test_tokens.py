@@ -10,6 +10,7 @@ import xxhash
 from heliograph.llm import packing, simhash, token_binary, tokens
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from .fixtures import empty, messy, messy_rows
 
@@ -74,6 +75,29 @@ def test_packing(spark):
     assert packing.pack(empty(spark), BYTE).count() == 0
 
 
+def test_packing_keeps_ids(spark):
+    """A null beside an id that no double holds, and ids of another type."""
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "a b"), (None, "c"), (big + 1, None)], "doc_id long, text string")
+    assert {r["doc_id"] for r in packing.pack(docs, BYTE).collect()} == {big, None, big + 1}
+    named = spark.createDataFrame([("x1", "a b"), (None, "c")], "doc_id string, text string")
+    assert {r["doc_id"] for r in packing.pack(named, BYTE).collect()} == {"x1", None}
+
+
+def test_equal_rows_spread(spark):
+    """30 000 rows with no id and no text make several groups, none of them large."""
+    docs = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    got = packing.pack(docs, BYTE, group_windows=1).groupBy(F.shiftright("sequence_id", 32)).count().collect()
+    assert len(got) > 8 and sum(r["count"] for r in got) == 30_000 and max(r["count"] for r in got) < 4096
+    order = token_binary.round_trip(docs, WORD)
+    assert order.count() == 30_000 and order.select("start").distinct().count() == 30_000
+
+
+def test_token_files_take_whole_numbers(spark, tmp_path):
+    with pytest.raises(TypeError, match="64-bit"):
+        token_binary.write_files(spark.createDataFrame([("x", "a")], "doc_id string, text string"), WORD, str(tmp_path))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
 def test_balance(sizes):
