@@ -6,14 +6,15 @@ bitmap of the windows' first two words, a constant in the plan, picks candidate
 positions inside the row; only candidates leave the row, and a hash join on the
 whole window text verifies them, so a hit is exact.
 
-The set is broadcast while it counts at most `broadcast_windows` windows and
-joined by shuffle beyond. The bitmap never grows; a fuller one only lets more
+The set is broadcast while it counts at most `broadcast_windows` windows; beyond,
+both joins on window texts are dealt by a salt too, so a window that very many
+documents hold is spread, and rows that stand for documents stay out of the join's hot keys. The bitmap never grows; a fuller one only lets more
 candidates through to the exact join.
 
 Defined results: null text has no words; null ids are ids like any other;
 repeated rows each get their row; an empty benchmark hits nothing; an empty
 table gives an empty result; other columns are kept where documents are
-returned and are never read.
+returned and are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, bind, written
+from .shared import ascii_lower, bind, unused, written
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -51,8 +52,8 @@ def benchmark_windows(benchmark: DataFrame, n: int = 8, bits: int = 1 << 18, *,
     return benchmark.select(F.col(item_id).alias("item_id"), F.explode(bind(words(F.col(text)), of)).alias("x")).select("item_id", "x.*").distinct()
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 8, *, doc_id: str = "doc_id", text: str = "text", bits: int = 1 << 18, broadcast_windows: int = 500_000) -> tuple[DataFrame, DataFrame]:
-    """(rows, windows). rows: doc_id, k (hash of id and text), pos, len, gram, copies:
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 8, *, doc_id: str = "doc_id", text: str = "text", bits: int = 1 << 18, broadcast_windows: int = 500_000, salts: int = 16) -> tuple[DataFrame, DataFrame, bool]:
+    """(rows, windows, whether windows are few). rows: doc_id, k (hash of id and text), pos, len, gram, copies:
     one row with pos -1 for each distinct document, whose len is its number of words,
     and one for each verified occurrence of a window."""
     windows = written(benchmark_windows(benchmark, n, bits), "windows")
@@ -91,9 +92,25 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 8, *, doc_id: str
     seen = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), F.explode(bind(words(F.col(text)), scan)).alias("x")).select("doc_id", "k", "x.*")
     small = sum(by_len.values()) <= broadcast_windows
     known = grams.withColumn("known", F.lit(True))
-    hits = seen.join(F.broadcast(known) if small else known, "gram", "left").where((F.col("pos") < 0) | F.col("known"))
+    if small:
+        hits = seen.join(F.broadcast(known), "gram", "left")
+    else:
+        # A document's own row has no window; a text of its own keeps it from meeting all others at null.
+        own = F.concat(F.lit("\n"), F.monotonically_increasing_id().cast("string"))
+        lone = seen.withColumn("g", F.coalesce("gram", own)).withColumn("salt", _salt(salts, "k", "pos"))
+        hits = lone.join(_salted(known, salts).withColumnRenamed("gram", "g"), ["g", "salt"], "left").drop("g", "salt")
+    hits = hits.where((F.col("pos") < 0) | F.col("known"))
     rows = hits.groupBy("doc_id", "k", "pos", "len", "gram").agg(F.count("*").alias("copies"))
-    return written(rows, "hits"), windows
+    return written(rows, "hits"), windows, small
+
+
+def _salt(salts: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
+
+
+def _salted(df: DataFrame, salts: int) -> DataFrame:
+    """Each row once for every salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, n: int = 8, min_items: int = 2, **options) -> DataFrame:
@@ -102,7 +119,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, n: int = 8, mi
     spans: the hit stretches of words as structs (from, to), in order. Contaminated
     documents hold windows of at least `min_items` items.
     """
-    rows, windows = find_hits(docs, benchmark, n, **options)
+    rows, windows, small = find_hits(docs, benchmark, n, **options)
     end = F.when(F.col("pos") >= 0, F.col("pos") + F.col("len"))
     before = F.coalesce(F.max(end).over(Window.partitionBy("doc_id", "k").orderBy("pos", "len").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fresh = F.when(F.col("pos") >= 0, F.greatest(F.lit(0), end - F.greatest(F.col("pos"), F.col("before"))))
@@ -117,9 +134,10 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, n: int = 8, mi
             F.array_sort(F.collect_list(F.when(F.col("fresh") > 0, F.struct((end - F.col("fresh")).alias("from"), end.alias("to"))))).alias("spans"),
         )
     )
+    met, named = rows.where("pos >= 0").select("doc_id", "k", "gram").distinct(), windows.select("gram", "item_id")
+    salts = options.get("salts", 16)
     items = (
-        rows.where("pos >= 0").select("doc_id", "k", "gram").distinct()
-        .join(windows.select("gram", "item_id"), "gram")
+        (met.join(F.broadcast(named), "gram") if small else met.withColumn("salt", _salt(salts, "doc_id", "k")).join(_salted(named, salts), ["gram", "salt"]))
         .groupBy(F.col("doc_id").alias("d"), F.col("k").alias("kk"))
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
@@ -145,15 +163,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, min_items:
     Only documents with a hit change: each hit stretch goes, from its first word to
     its last, and what stands between words elsewhere stays as it is.
     """
-    hit = decontamination_report(docs, benchmark, n, min_items, doc_id=doc_id, text=text, **options).where("n_hit > 0").select(F.col("doc_id").alias("__d"), F.col("k").alias("__k"), F.col("contaminated").alias("__c"), F.col("spans").alias("__s"))
+    d, k, c, spans = (unused(docs.columns, x) for x in ("d", "k", "c", "s"))
+    report = decontamination_report(docs, benchmark, n, min_items, doc_id=doc_id, text=text, **options)
+    hit = report.where("n_hit > 0").select(F.col("doc_id").alias(d), F.col("k").alias(k), F.col("contaminated").alias(c), F.col("spans").alias(spans))
     key = F.xxhash64(F.col(doc_id), F.col(text))
-    joined = docs.join(hit, F.col(doc_id).eqNullSafe(F.col("__d")) & (key == F.col("__k")), "left").where(~F.coalesce(F.col("__c"), F.lit(False)))
+    joined = docs.join(hit, F.col(doc_id).eqNullSafe(F.col(d)) & (key == F.col(k)), "left").where(~F.coalesce(F.col(c), F.lit(False)))
     # Words and the gaps before them, in order: [gap, word] ... and the last gap.
     parts = F.regexp_extract_all(F.col(text), F.lit(r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 0)
     tail = F.regexp_extract(F.col(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
 
     def cut(p: Column) -> Column:
-        stays = F.filter(p, lambda _, i: ~F.exists(F.col("__s"), lambda s: (s["from"] <= i) & (i < s["to"])))
+        stays = F.filter(p, lambda _, i: ~F.exists(F.col(spans), lambda s: (s["from"] <= i) & (i < s["to"])))
         return F.concat(F.array_join(stays, ""), tail)
 
-    return joined.withColumn(text, F.when(F.size("__s") > 0, bind(parts, cut)).otherwise(F.col(text))).select(docs.columns)
+    cleaned = F.when(F.size(spans) > 0, bind(parts, cut)).otherwise(F.col(text))
+    return joined.select([cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -8,14 +8,20 @@ boilerplate. A document is depleted, and rejected, if boilerplate lines hold
 more than `max_removed` of its words.
 
 The limit of a host is `max(line_docs, line_share * documents of the host)`, and with
-`most_line_docs` no more than that: so many documents suffice, however large the host;
-exact copies of a text count as one document, so that a copied text is left to
-deduplication. Hashes have 64 bits.
+`most_line_docs` no more than that: so many documents suffice, however large the host.
+Documents are counted by distinct text, a departure on purpose: a text that is copied often would
+otherwise make every line of its own boilerplate, and all copies would go, where
+deduplication is to keep one. Hashes have 64 bits.
+
+Each text is read once: its metrics and the hashes of its lines go to a table in the shared
+folder, from which lines are counted and looked up. Boilerplate lines, hot keys by nature,
+are broadcast while there are at most `broadcast_lines` of them, and beyond that joined with
+both sides dealt by a salt.
 
 Defined results: null text has no words and fails the base rules; null hosts are
 a host of their own; repeated rows and ids each get a row; an empty table gives
 an empty result; columns of the input other than id, text and host are kept
-where documents are returned, and never read.
+where documents are returned, and never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, bind
+from .shared import ascii_lower, bind, unused, written
 
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -72,34 +78,58 @@ def _host(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s:"), source.cast("string")), F.lit("null"))
 
 
+def _normalised(line: Column) -> Column:
+    """A line's words with one space between; '' without words."""
+    return F.trim(F.regexp_replace(line, GAP, " "))
+
+
 def _line_key(line: Column) -> Column:
-    return F.xxhash64(ascii_lower(F.array_join(words(line), " ")))
+    return bind(_normalised(line), lambda x: F.xxhash64(ascii_lower(x)))
+
+
+def _lines(text: Column) -> Column:
+    """Hash and number of words of each line that has one."""
+    lines = F.filter(F.transform(F.split(ascii_lower(text), "\n"), _normalised), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("in_line")))
 
 
-def boilerplate_lines(docs: DataFrame, line_docs: int = 20, line_share: float = 0.01, *, most_line_docs: int | None = None, text: str = "text", source: str = "source") -> DataFrame:
-    """host, line, docs: normalised lines found in more distinct documents of a host than its limit."""
+def read_once(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """row (a number), doc_id, k, host, t (hash of the text), m (base metrics), lines of every document, written."""
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.select(_host(F.col(source)).alias("host"), F.xxhash64(body).alias("t"), body.alias("body"))
-    lines = docs.select("host", "t", F.explode(F.split("body", "\n")).alias("l")).where(_has_word(F.col("l"))).select("host", "t", _line_key(F.col("l")).alias("line"))
+    return written(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"),
+            _host(F.col(source)).alias("host"), F.xxhash64(body).alias("t"), base_metrics(F.col(text)).alias("m"), _lines(body).alias("lines"),
+        ),
+        "lines",
+    )
+
+
+def boilerplate_lines(read: DataFrame, line_docs: int = 20, line_share: float = 0.01, *, most_line_docs: int | None = None) -> DataFrame:
+    """host, line, docs of read_once(): lines found in more distinct texts of a host than its limit."""
+    lines = read.select("host", "t", F.explode(F.array_distinct("lines.line")).alias("line"))
     counts = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
-    hosts = docs.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = read.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     above = F.col("docs") > F.col("host_docs") * line_share
     if most_line_docs is not None:
         above |= F.col("docs") > most_line_docs
     return counts.where(F.col("docs") > line_docs).join(hosts, "host").where(above).select("host", "line", "docs")
 
 
-def quality_report(docs: DataFrame, *, line_docs: int = 20, line_share: float = 0.01, most_line_docs: int | None = None, max_removed: float = 0.5, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def quality_report(docs: DataFrame, *, line_docs: int = 20, line_share: float = 0.01, most_line_docs: int | None = None, max_removed: float = 0.5, broadcast_lines: int = 200_000, salts: int = 16, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: doc_id, k, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, removed_words, removed_lines (hashes), base_failed, kept."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.transform(F.filter(F.split(body, "\n"), _has_word), lambda x: F.struct(_line_key(x).alias("line"), F.size(words(x)).alias("in_line")))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _host(F.col(source)).alias("host"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), F.posexplode(lines).alias("at", "x")).select("doc_id", "host", "k", "at", "x.*")
-    common = boilerplate_lines(docs, line_docs, line_share, most_line_docs=most_line_docs, text=text, source=source).select("host", "line")
-    met = rows.join(common, ["host", "line"]).select("doc_id", "k", "at", "line", "in_line").distinct()
-    cut = met.groupBy(F.col("doc_id").alias("d"), F.col("k").alias("kk")).agg(F.sum("in_line").alias("cut_words"), F.collect_set("line").alias("cut_lines"))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), base_metrics(F.col(text)).alias("m")).select("doc_id", "k", F.col("m.w.n").alias("n_words"), F.col("m.w.c").alias("word_chars"), "m.n_symbols", "m.n_dup_lines", F.col("m.w.r").alias("n_repeat_words"))
-    out = base.join(cut, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("kk")), "left")
+    read = read_once(docs, doc_id=doc_id, text=text, source=source)
+    common = written(boilerplate_lines(read, line_docs, line_share, most_line_docs=most_line_docs).select("host", "line"), "boilerplate")
+    rows = read.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.*")
+    if common.count() <= broadcast_lines:
+        met = rows.join(F.broadcast(common), ["host", "line"])
+    else:
+        dealt = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).join(dealt, ["host", "line", "salt"])
+    cut = met.groupBy("row").agg(F.sum("in_line").alias("cut_words"), F.collect_set("line").alias("cut_lines"))
+    base = read.select("row", "doc_id", "k", F.col("m.w.n").alias("n_words"), F.col("m.w.c").alias("word_chars"), "m.n_symbols", "m.n_dup_lines", F.col("m.w.r").alias("n_repeat_words"))
+    out = base.join(cut, "row", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     removed = F.coalesce(F.col("cut_words"), F.lit(0)).cast("long")
     return out.select(
@@ -111,8 +141,10 @@ def quality_report(docs: DataFrame, *, line_docs: int = 20, line_share: float =
 
 def apply_quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs that are kept, without their boilerplate lines; the columns stay."""
+    d, k, lines = (unused(docs.columns, x) for x in ("d", "k", "l"))
     report = quality_report(docs, doc_id=doc_id, text=text, **options)
-    kept = report.where("kept").select(F.col("doc_id").alias("__d"), F.col("k").alias("__k"), F.col("removed_lines").alias("__l")).dropDuplicates(["__d", "__k"])
-    joined = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(F.col(doc_id), F.col(text)) == F.col("__k")))
-    stays = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("__l"), _line_key(x)))
-    return joined.withColumn(text, F.when(F.size("__l") > 0, F.array_join(stays, "\n")).otherwise(F.col(text))).select(docs.columns)
+    kept = report.where("kept").select(F.col("doc_id").alias(d), F.col("k").alias(k), F.col("removed_lines").alias(lines)).dropDuplicates([d, k])
+    joined = docs.join(kept, F.col(doc_id).eqNullSafe(F.col(d)) & (F.xxhash64(F.col(doc_id), F.col(text)) == F.col(k)))
+    stays = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col(lines), _line_key(x)))
+    cleaned = F.when(F.size(lines) > 0, F.array_join(stays, "\n")).otherwise(F.col(text))
+    return joined.select([cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import python_workers, written
+from .shared import mark, python_workers, released, unused, written
 
 BITS = 64
 
@@ -281,7 +281,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         r = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         return r["n"], int(r["h"])
 
-    before = state(edges)
+    before, last = state(edges), mark()
     while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -293,6 +293,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = down.join(low, "u").select("m", "v").union(low.select("m", F.col("u").alias("v"))).where("m < v")
         edges = written(small.select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), name)
         now = state(edges)
+        released(edges.sparkSession, last - 1, last)  # the round before
         if now == before:
             break
         before = now
@@ -418,8 +419,9 @@ def deduplicated(docs: DataFrame, *, least_share: float | None = None, doc_id: s
     classes = marks.groupBy(*unit, "doc_id", "k").count().groupBy(*unit).agg(least)
     rooted = classes.join(roots, classes["c"] == roots["node"], "left").select(F.coalesce("root", "c").alias("root"), "x")
     first = rooted.groupBy("root").agg(F.min("x").alias("x")) if least_share is None else _apart(rooted, docs, least_share, doc_id, text)
-    keep = first.select(F.col("x.doc_id").alias("__d"), F.col("x.k").alias("__k"), F.col("x.count").alias("__n"))
-    found = docs.join(keep, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(F.col(doc_id), F.col(text)) == F.col("__k")))
+    d, k, n = (unused(docs.columns, x) for x in ("d", "k", "n"))
+    keep = first.select(F.col("x.doc_id").alias(d), F.col("x.k").alias(k), F.col("x.count").alias(n))
+    found = docs.join(keep, F.col(doc_id).eqNullSafe(F.col(d)) & (F.xxhash64(F.col(doc_id), F.col(text)) == F.col(k)))
     # Only of fully repeated rows is more than one left.
-    once = found.where("__n = 1").select(docs.columns)
-    return once.unionByName(found.where("__n > 1").dropDuplicates(["__d", "__k"]).select(docs.columns))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return found.where(F.col(n) == 1).select(own).unionByName(found.where(F.col(n) > 1).dropDuplicates([d, k]).select(own))

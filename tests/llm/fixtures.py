@@ -4,7 +4,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
-CLASHING = ["k", "h", "b", "g", "pos", "len", "gram", "line", "host", "fp", "root", "score", "x", "count", "held", "__x", "position", "shard"]
+CLASHING = ["k", "h", "b", "g", "pos", "len", "gram", "line", "host", "fp", "root", "score", "x", "count", "held", "__x", "position", "shard", "__d", "__k", "__n", "__c", "__s", "__l", "row", "salt"]
 
 
 def messy_rows(seed=1):

@@ -86,6 +86,8 @@ def test_quality_applied(spark):
     assert out.columns == docs.columns
     kept = out.collect()
     assert kept and all("Common footer" not in r["text"] for r in kept)
+    salted = quality_rules.apply_quality_rules(docs, line_docs=5, line_share=0.05, broadcast_lines=0)
+    assert sorted(map(str, salted.collect())) == sorted(map(str, kept))
     assert quality_rules.apply_quality_rules(empty(spark)).count() == 0 and quality_rules.quality_report(empty(spark)).count() == 0
 
 
