@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from heliograph.llm import decontamination, packing, quality_rules, simhash, toxicity
 from heliograph.llm.queries import tokenizer_path
-from heliograph.llm.shared import table, written
+from heliograph.llm.shared import mark, released, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has written besides its result, and its own input, goes once the result is there."""
+    docs, kept = table(spark, sf_dir, "documents"), 0
     for name, stage in STAGES[:-1]:
+        start = mark() - kept
         docs = written(stage(spark, docs, sf_dir), name)
+        released(spark, start, mark() - 1)
+        kept = 1
     return STAGES[-1][1](spark, docs, sf_dir)
