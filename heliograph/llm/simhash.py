@@ -368,22 +368,26 @@ class _Kept:
         return True
 
 
-def _apart(texts: DataFrame, docs: DataFrame, least_share: float, doc_id: str, text: str, large: int = 2048) -> DataFrame:
+def _apart(texts: DataFrame, docs: DataFrame, least_share: float, doc_id: str, text: str, large: int = 2048, most_heads: int = 256) -> DataFrame:
     """Of texts (root, x), those that no kept text before them in the component is alike to.
 
-    In a large component all texts are first held against its first, wherever they are.
+    In a large component all texts are first held against its first, wherever they are; so it is in the
+    `most_heads` largest of them, a bound on what the driver broadcasts. It only saves work: what is left
+    of any component is compared in order.
     """
     python_workers(docs.sparkSession)
     texts = written(texts, "texts")
     sizes = texts.groupBy("root").agg(F.count("*").alias("n"), F.min("x").alias("first"))
     alone = sizes.where("n = 1").select(F.col("first").alias("x"))
-    some = texts.join(sizes.where("n > 1").select("root", F.col("n").alias("in_root")), "root").select("root", "x", "in_root")
+    big = written(sizes.where(F.col("n") > large).orderBy(F.desc("n"), "root").limit(most_heads), "large")
+    few = F.broadcast(big.select("root"))
+    in_big = texts.join(few, "root").select("root", "x", F.lit(True).alias("big"))
+    rest = texts.join(few, "root", "left_anti").join(sizes.where("n > 1").select("root"), "root").select("root", "x", F.lit(False).alias("big"))
     body = docs.select(F.col(doc_id).alias("d"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"), F.col(text).alias("text"))
-    found = body.join(some, F.col("d").eqNullSafe(F.col("x.doc_id")) & (F.col("h") == F.col("x.k"))).select("root", "x", "in_root", "text")
+    found = body.join(in_big.unionByName(rest), F.col("d").eqNullSafe(F.col("x.doc_id")) & (F.col("h") == F.col("x.k"))).select("root", "x", "big", "text")
     found = written(found, "candidates")
-    heads = found.where(F.col("in_root") > large).join(F.broadcast(sizes.where(F.col("n") > large).select("root", "first")), "root").where("x = first")
+    heads = found.where("big").join(F.broadcast(big.select("root", "first")), "root").where("x = first")
     first = docs.sparkSession.sparkContext.broadcast({r["root"]: shingles(r["text"]) for r in heads.select("root", "text").collect()})
-    heads = found.where(F.col("in_root") > large).groupBy("root").agg(F.min("x").alias("x"))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,11 +404,11 @@ def _apart(texts: DataFrame, docs: DataFrame, least_share: float, doc_id: str, t
                 stays.append(kept.takes(shingles(t)))
             yield batch.select([1]).filter(pa.array(stays, pa.bool_()))
 
-    left = found.where(F.col("in_root") <= large)
+    left = found.where("not big")
     if first.value:
-        left = left.unionByName(found.where(F.col("in_root") > large).mapInArrow(others, found.schema))
+        left = left.unionByName(found.where("big").mapInArrow(others, found.schema))
     kept = left.repartition("root").sortWithinPartitions("root", "x").mapInArrow(greedy, found.select("x").schema)
-    return alone.union(kept).union(heads.select("x"))
+    return alone.union(kept).union(big.select(F.col("first").alias("x")))
 
 
 def deduplicated(docs: DataFrame, *, least_share: float | None = None, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -134,7 +134,7 @@ def test_stages_against_plain_python(spark, tables, tmp_path):
 @pytest.mark.parametrize("large", [2048, 3])
 def test_near_duplicates_share_their_shingles(spark, large, monkeypatch):
     """Of a chain of links, only texts with 0.8 of a kept text's shingles go."""
-    monkeypatch.setattr(simhash._apart, "__defaults__", (large,))
+    monkeypatch.setattr(simhash._apart, "__defaults__", (large, 256))
     r = random.Random(9)
     words, rows = [f"w{r.randrange(10**6)}" for _ in range(300)], []
     for i in range(24):
