@@ -18,8 +18,9 @@ from ..functions.scalar import SCALAR, active_at, element_id, overlaps
 from ..operators import text as text_search
 from ..operators.traverse import edge_key, shortest_path, var_length
 from ..plans.catalog import GraphCatalog
-from .parser import Call, CypherError, Match, Node, Path, Projection, Query, Rel, Unwind, Write, parse
+from .parser import AsOf, Call, Command, CypherError, Match, Node, Path, Procedure, Projection, Query, Rel, Unwind, Write, parse
 
+FUSIONS = {"rrf_score", "cc_score", "dbsf_score", "doc_score"}
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect", "stdev", "stdevp", "percentilecont", "percentiledisc"}
 BOOL_TYPES = {"BOOLEAN": T.BooleanType, "BOOL": T.BooleanType, "STRING": T.StringType, "LIST": T.ArrayType, "MAP": (T.MapType, T.StructType), "TIMESTAMP": (T.TimestampType, T.TimestampNTZType)}
 
@@ -83,6 +84,24 @@ def has_aggregate(e) -> bool:
     return isinstance(e, (list, dict)) and any(map(has_aggregate, e.values() if isinstance(e, dict) else e))
 
 
+def calls_of(e, names: set[str]) -> list[tuple]:
+    """Calls of some functions anywhere in an expression."""
+    if isinstance(e, tuple):
+        own = [e] if len(e) == 4 and e[0] == "call" and isinstance(e[1], str) and e[1].lower() in names else []
+        return own + [c for x in e for c in calls_of(x, names)]
+    if isinstance(e, (list, dict)):
+        return [c for x in (e.values() if isinstance(e, dict) else e) for c in calls_of(x, names)]
+    return []
+
+
+def replaced(e, old: tuple, new: tuple):
+    if e == old:
+        return new
+    if isinstance(e, tuple):
+        return tuple(replaced(x, old, new) for x in e)
+    return [replaced(x, old, new) for x in e] if isinstance(e, list) else {k: replaced(x, old, new) for k, x in e.items()} if isinstance(e, dict) else e
+
+
 class Compiler:
     def __init__(self, catalog: GraphCatalog, params: dict | None = None, strict_numbers: bool = False) -> None:
         self.catalog, self.params, self.strict, self.fresh = catalog, params or {}, strict_numbers, 0
@@ -95,6 +114,9 @@ class Compiler:
     def query(self, q: Query, seed: Env | None = None) -> Env:
         outs = []
         for part in q.parts:
+            at = [c.instant for c in part if isinstance(c, AsOf)]
+            if at:
+                self.catalog = self.catalog.as_of(self.instant(at[-1]))
             env = self.clauses(part, replace(seed, vars=dict(seed.vars)) if seed else Env(self.catalog.spark.range(1).select(F.lit(1).alias("__unit"))))
             outs.append(env)
         first = outs[0]
@@ -117,10 +139,32 @@ class Compiler:
                 env = self.project(c, env)
             elif isinstance(c, Call):
                 env = self.call(c, env)
-            elif isinstance(c, Write):
-                raise CypherError("writes run through Graph.write()")
+            elif isinstance(c, Procedure):
+                env = self.procedure(c, env)
+            elif isinstance(c, AsOf):
+                pass  # the whole part reads at that instant
+            elif isinstance(c, (Write, Command)):
+                raise CypherError("this statement runs through Graph.write()")
         return env
 
+    def instant(self, e) -> Column:
+        """A constant instant: text, or milliseconds since 1970."""
+        x = self.ex(e, Env(self.catalog.spark.range(1)), {})
+        t = Env(self.catalog.spark.range(1)).type_of(x)
+        return F.timestamp_millis(x.col) if S.is_int(t) else x.col.cast("timestamp")
+
+    def procedure(self, c: Procedure, env: Env) -> Env:
+        from ..plans import advisor
+
+        args = [self.params.get(a[1]) if a[0] == "param" else a[1] if a[0] == "lit" else self.constant(a) for a in c.args]
+        rows, schema = advisor.procedure(self.catalog, c.name, args)
+        df = self.catalog.spark.createDataFrame(rows, schema)
+        outputs = c.outputs or [(f, f) for f in df.columns]
+        if missing := [n for n, _ in outputs if n not in df.columns]:
+            raise CypherError(f"{c.name} has no {missing}")
+        df = df.select(*[F.col(n).alias(a) for n, a in outputs])
+        return replace(env, df=df if env.unit else env.df.crossJoin(df), vars={**env.vars, **{a: Var("value", (a,)) for _, a in outputs}}, unit=False)
+
     # patterns
     def scan(self, n: Node, var: str) -> tuple[DataFrame, Var]:
         label = n.labels[0] if n.labels else None
@@ -256,6 +300,8 @@ class Compiler:
 
     def filter(self, e, env: Env) -> None:
         """Keeps rows for which e holds; patterns become semi and anti joins."""
+        if fused := calls_of(e, FUSIONS):
+            raise CypherError(f"{fused[0][1]}() ranks all rows and cannot stand in WHERE")
         negated, inner = (True, e[1]) if e[0] == "not" else (False, e)
         if inner[0] in ("pattern", "sub") and (inner[0] == "pattern" or inner[1] == "EXISTS"):
             m = Match([inner[1]]) if inner[0] == "pattern" else inner[2]
@@ -268,6 +314,101 @@ class Compiler:
             return self.text_match(e, env)
         x = self.ex(e, env, {})
         env.df = env.df.where(S.truth(x.col, env.type_of(x)))
+        if e[0] == "cmp" and (near := calls_of(e[2:], {"vector_similarity", "vector_distance", "vector_manhattan"})):
+            # What hybrid_score() blends: the vector score that rows were filtered by, in 0 to 1.
+            v = self.ex(near[0], env, {}).col
+            env.df = env.df.withColumn("__vector_score", (v + 1) / 2 if near[0][1].lower() == "vector_similarity" else 1 / (1 + v))
+            env.vars["__vector_score"] = Var("value", ("__vector_score",))
+
+    # rank fusion
+    def fused(self, items: list, env: Env) -> list:
+        """The expressions with fusion scores as new columns of the rows."""
+        found = list(dict.fromkeys(map(repr, calls_of([e for e, _ in items], FUSIONS))))
+        if len([c for c in found if "'doc_score'" not in c]) > 1:
+            raise CypherError("one projection takes one of rrf_score(), cc_score() and dbsf_score(); put another after WITH")
+        for call in {repr(c): c for c in calls_of([e for e, _ in items], FUSIONS)}.values():
+            name = self.new("fused")
+            (self.doc_score if call[1].lower() == "doc_score" else self.rank_fuse)(call, name, env)
+            env.vars[name] = Var("value", (name,))
+            items = [(replaced(e, call, ("var", name)), n) for e, n in items]
+        return items
+
+    def static(self, e):
+        """A literal, list, map or parameter as a Python value."""
+        if e[0] == "neg":
+            return -self.static(e[1])
+        if e[0] == "map":
+            return {k: self.static(x) for k, x in e[1].items()}
+        if e[0] == "list":
+            return [self.static(x) for x in e[1]]
+        if e[0] in ("lit", "param"):
+            return e[1] if e[0] == "lit" else self.params.get(e[1])
+        raise CypherError("a fusion score takes literals and parameters")
+
+    def rank_fuse(self, call: tuple, out: str, env: Env) -> None:
+        from ..functions import vector
+        from ..operators import fusion
+
+        name, args = call[1].lower(), call[3] or []
+        if name == "rrf_score" and len(args) > 2:
+            raise CypherError("rrf_score() has k=60, which is not tunable")
+        if len(args) < 2 or args[0][0] != "list" or not args[0][1]:
+            raise CypherError(f"{name}() takes a non-empty list of properties and a query map")
+        query = self.static(args[1])
+        if not isinstance(query, dict) or not query or (odd := set(query) - {"vector", "text"}):
+            raise CypherError(f"{name}() knows the query keys vector and text, not {sorted(odd) if query else query}")
+        weights = self.static(args[2]) if len(args) > 2 else {}
+        if name != "rrf_score" and (not isinstance(weights, dict) or not weights or set(weights) - {"vector", "text"}):
+            raise CypherError(f"{name}() takes weights for vector and text")
+        columns: dict[str, float] = {}
+        for i, m in enumerate(args[0][1]):
+            if m[0] != "prop" or m[1][0] != "var" or m[1][1] not in env.vars or env.vars[m[1][1]].kind != "node":
+                raise CypherError(f"{name}() takes property accesses")
+            var, prop, c = m[1][1], m[2], f"{out}_{i}"
+            v = env.vars[var]
+            t = env.type_of(self.property(env, v, prop))
+            if S.is_list(t) and "vector" in query:
+                kind, q = "vector", F.array(*[F.lit(float(x)) for x in query["vector"]])
+                env.df = env.df.withColumn(c, vector.vector_similarity(self.property(env, v, prop).col, q))
+            elif S.is_text(t) and "text" in query:
+                kind = "text"
+                docs = self.catalog.scan(v.label).select("id", F.col(prop).alias("text"))
+                scores = text_search.search(docs, query["text"]).select(F.col("id").alias("__doc"), F.col("score").alias(c))
+                env.df = env.df.join(scores, env.df[var] == scores["__doc"], "left").drop("__doc")
+            else:
+                raise CypherError(f"{name}(): {var}.{prop} cannot be scored by {sorted(query)}")
+            if name == "rrf_score" or kind in weights:
+                columns[c] = float(weights.get(kind, 1))
+        if name == "rrf_score":
+            env.df = fusion.rrf(env.df, [*columns], out)
+        else:
+            env.df = (fusion.convex if name == "cc_score" else fusion.dbsf)(env.df, columns, out)
+
+    def doc_score(self, call: tuple, out: str, env: Env) -> None:
+        from ..functions import vector
+        from ..operators import fusion
+
+        args = call[3] or []
+        v = env.vars.get(args[0][1]) if len(args) >= 2 and args[0][0] == "var" else None
+        if v is None or v.kind != "node":
+            raise CypherError("doc_score() takes a document and a query vector")
+        q = self.static(args[1])
+        q = q.get("vector") if isinstance(q, dict) else q
+        options = self.static(args[2]) if len(args) > 2 else {}
+        if isinstance(options, (int, float)):
+            options = dict(zip(("alpha", "beta", "gamma"), map(self.static, args[2:5])))
+        if not isinstance(options, dict) or (odd := set(options) - {"alpha", "beta", "gamma"}):
+            raise CypherError(f"doc_score() takes alpha, beta and gamma, not {sorted(odd) if isinstance(options, dict) else options}")
+        edge = self.catalog.edges.get("HAS_CHUNK")
+        label = edge.target if edge else None
+        nodes = self.catalog.scan(label)
+        vectors = [f.name for f in nodes.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.FloatType, T.DoubleType))]
+        if edge is None or not vectors or not isinstance(q, list):
+            raise CypherError("doc_score() needs HAS_CHUNK edges to nodes with a vector, and a query vector")
+        sim = vector.vector_similarity(F.col(vectors[0]), F.array(*[F.lit(float(x)) for x in q]))
+        ends = edge.rows().select(F.col("src").alias("__src"), F.col("dst").alias("__dst"))
+        chunks = ends.join(nodes.select("id", sim.alias("sim")), F.col("__dst") == F.col("id")).select(F.col("__src").alias("id"), "sim")
+        env.df = fusion.doc_score(env.df, chunks, "sim", id="id", doc=v.columns[0], out=out, **{k: float(x) for k, x in options.items()})
 
     def text_match(self, e, env: Env) -> None:
         (_, base, prop), query = e[3][0], self.ex(e[3][1], env, {})
@@ -338,6 +479,9 @@ class Compiler:
         env = replace(env, vars=dict(env.vars))
         items = [(("var", v), v) for v in env.vars if not v.startswith("__")] if p.star else []
         items += p.items
+        n_items = len(items)
+        both = self.fused([*items, *[(e, None) for e, _ in p.order]], env)
+        items, p = both[:n_items], replace(p, order=[(e, asc) for (e, _), (_, asc) in zip(both[n_items:], p.order, strict=True)])
         order, grouped = p.order, any(has_aggregate(e) for e, _ in items)
         if p.distinct and not grouped or grouped:
             known = {repr(e): n for e, n in items}
@@ -371,9 +515,10 @@ class Compiler:
                 if not p.distinct:
                     columns.append(x.col.alias(f"__o{i}"))
             out.df = mixed.df.select(columns)
-            if "__text_score" in env.vars and not p.final and "__text_score" not in done:
-                out.df = mixed.df.select(*columns, "__text_score")
-                out.vars["__text_score"] = env.vars["__text_score"]
+            cached = [] if p.final else [c for c in ("__text_score", "__vector_score") if c in env.vars and c not in done]
+            if cached:
+                out.df = mixed.df.select(*columns, *cached)
+                out.vars.update({c: env.vars[c] for c in cached})
             if p.distinct:
                 out.df = out.df.distinct()
         if grouped or p.distinct:
@@ -551,7 +696,11 @@ class Compiler:
             same = (a.col == b.col) & (F.col(ends[0].identity[1]) == F.col(ends[1].identity[1]))
             return X(same if op == "=" else ~same, kind=T.BooleanType())
         if op == "=~":
-            return self.ap(lambda x, p: F.rlike(x, F.concat(F.lit("^(?:"), p, F.lit(")$"))), a, b, kind=T.BooleanType()) if S.is_text(ta) and S.is_text(tb) else X(F.lit(None).cast("boolean"), kind=T.BooleanType())
+            if not (S.is_text(ta) and S.is_text(tb)):
+                return X(F.lit(None).cast("boolean"), kind=T.BooleanType())
+            if e[3][0] in ("lit", "param") and not self.compiles(e[3][1] if e[3][0] == "lit" else self.params.get(e[3][1])):
+                return self.ap(lambda x: F.when(x.isNotNull(), F.lit(False)), a, kind=T.BooleanType())
+            return self.ap(lambda x, p: F.rlike(x, F.concat(F.lit("^(?:"), p, F.lit(")$"))), a, b, kind=T.BooleanType())
         if op == "=":
             f = lambda x, y: S.equal(x, y, ta, tb, self.strict)
         elif op == "<>":
@@ -560,6 +709,14 @@ class Compiler:
             f = lambda x, y: S.order(op, x, y, ta, tb)
         return self.ap(f, a, b, kind=T.BooleanType())
 
+    def compiles(self, pattern) -> bool:
+        """Whether the executors' regular expressions take a constant pattern; one that they do not matches nothing."""
+        try:
+            self.catalog.spark._jvm.java.util.regex.Pattern.compile(pattern)
+        except Exception:  # noqa: BLE001  whatever the pattern's syntax error is
+            return False
+        return True
+
     def ex_math(self, e, env, scope):
         a, b = self.ex(e[2], env, scope), self.ex(e[3], env, scope)
         f = {"+": S.add, "-": S.subtract, "*": S.multiply, "/": S.divide, "%": S.modulo}[e[1]]
@@ -745,8 +902,22 @@ class Compiler:
         if name == "hybrid_score":
             from ..operators.fusion import hybrid_score
 
-            v = self.ex(args[0], env, scope)
-            return X(hybrid_score(v.col, F.col("__text_score") if "__text_score" in env.vars else None))
+            text = F.col("__text_score") if "__text_score" in env.vars else None
+            if entity is None:  # the similarity itself
+                return X(hybrid_score(self.ex(args[0], env, scope).col, text), kind=T.DoubleType())
+            if text is None and "__vector_score" not in env.vars:
+                raise CypherError("hybrid_score() needs text_match or a vector predicate in WHERE")
+            weights = {"vector": 0.65, "text": 0.35} | (self.static(args[2]) if len(args) > 2 else {})
+            v = F.col("__vector_score") if "__vector_score" in env.vars else F.lit(0.0)
+            t = text / (1 + text) if text is not None else F.lit(0.0)
+            return X(float(weights["vector"]) * F.coalesce(F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0)), F.lit(0.0)) + float(weights["text"]) * F.coalesce(t, F.lit(0.0)), kind=T.DoubleType())
+        if name in FUSIONS:
+            raise CypherError(f"{name}() stands in WITH, RETURN or ORDER BY")
+        if name == "encrypted_match":
+            from ..operators.mutate import token_of
+
+            x, wanted = self.ex(args[0], env, scope), self.ex(args[1], env, scope)
+            return X(x.col == (token_of(wanted.col, self.static(args[2])) if len(args) > 2 else wanted.col), kind=T.BooleanType())
         xs = self.many(args, env, scope)
         if name in ("length", "nodes", "relationships"):
             return self.ap({"length": lambda p: F.when(p.isNotNull(), F.size(p["rels"])).cast("long"), "nodes": lambda p: p["nodes"], "relationships": lambda p: p["rels"]}[name], xs[0])
@@ -763,11 +934,20 @@ class Compiler:
         return self.ap(lambda *c: SCALAR[name](list(c), types), *xs)
 
 
-def run(catalog: GraphCatalog, text: str, params: dict | None = None, strict_numbers: bool = False) -> DataFrame:
-    """The rows of a read query; a bare node is its id."""
-    tree = parse(text)
-    out = Compiler(catalog, params, strict_numbers).query(tree)
+def answer(tree: Query, out: Env) -> DataFrame | None:
+    """The rows that a statement returns; a bare node is its id. None without RETURN."""
     last = tree.parts[0][-1]
+    if isinstance(last, Procedure):
+        return out.df.select(*[F.col(f"`{v.columns[0]}`").alias(n) for n, v in out.vars.items()])
     if not isinstance(last, Projection) or not last.final:
-        raise CypherError("a read query ends with RETURN")
+        return None
     return out.df.select(*[F.col(f"`{v.columns[0]}`").alias(n) for n, v in out.vars.items() if not n.startswith("__")])
+
+
+def run(catalog: GraphCatalog, text: str, params: dict | None = None, strict_numbers: bool = False) -> DataFrame:
+    """The rows of a read query."""
+    tree = parse(text)
+    rows = answer(tree, Compiler(catalog, params, strict_numbers).query(tree))
+    if rows is None:
+        raise CypherError("a read query ends with RETURN")
+    return rows

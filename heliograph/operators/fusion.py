@@ -17,13 +17,13 @@ def rrf(rows: DataFrame, scores: list[str], out: str = "rrf_score", k: int = RRF
     Ranks need no global sort in one task: rows are counted by distinct score, and only the
     distinct scores, fewer than rows, are accumulated by range.
     """
-    total = F.lit(0.0)
+    total, matched = F.lit(0.0), rows.agg(*[F.count(s).alias(f"__n_{s}") for s in scores])
+    ranks = {s: score_ranks(rows, s).select(F.col(s).alias(f"__s_{s}"), F.col("rank").alias(f"__r_{s}")) for s in scores}
+    rows = rows.join(F.broadcast(matched), F.lit(True))  # one row of counts
     for s in scores:
-        ranks = score_ranks(rows, s).select(F.col(s).alias(f"__s_{s}"), F.col("rank").alias(f"__r_{s}"))
-        rows = rows.join(ranks, rows[s] == F.col(f"__s_{s}"), "left").drop(f"__s_{s}")
-        matched = rows.agg(F.count(s)).first()[0]
-        total = total + 1.0 / (k + F.coalesce(F.col(f"__r_{s}"), F.lit(matched + 1)))
-    return rows.withColumn(out, total).drop(*[f"__r_{s}" for s in scores])
+        rows = rows.join(ranks[s], rows[s] == F.col(f"__s_{s}"), "left").drop(f"__s_{s}")
+        total = total + 1.0 / (k + F.coalesce(F.col(f"__r_{s}"), F.col(f"__n_{s}") + 1))
+    return rows.withColumn(out, total).drop(*[f"__{x}_{s}" for s in scores for x in "rn"])
 
 
 def score_ranks(rows: DataFrame, score: str) -> DataFrame:
@@ -72,12 +72,12 @@ def hybrid_score(vector: Column, text: Column | None, similarity: bool = True) -
     return 0.65 * F.coalesce(v, F.lit(0.0)) + 0.35 * F.coalesce(t, F.lit(0.0))
 
 
-def doc_score(docs: DataFrame, chunks: DataFrame, similarity: str, alpha: float = 0.5, beta: float = 0.3, gamma: float = 0.2, id: str = "id", out: str = "doc_score") -> DataFrame:
+def doc_score(docs: DataFrame, chunks: DataFrame, similarity: str, alpha: float = 0.5, beta: float = 0.3, gamma: float = 0.2, id: str = "id", doc: str | None = None, out: str = "doc_score") -> DataFrame:
     """docs with alpha max + beta mean + gamma share of matching chunks; 0.0 without chunks.
 
-    chunks: a row a chunk with the document's id in `id` and its similarity, or NULL.
+    chunks: a row a chunk with the document's id in `id` and its similarity, or NULL. doc: docs' column of ids, if another.
     """
     s = F.col(similarity)
     per = chunks.groupBy(F.col(id).alias("__doc")).agg(F.max(s).alias("__m"), F.avg(s).alias("__a"), F.sum((s > 0).cast("int")).alias("__hits"), F.count("*").alias("__n"))
     score = alpha * F.greatest(F.coalesce("__m", F.lit(0.0)), F.lit(0.0)) + beta * F.coalesce("__a", F.lit(0.0)) + gamma * F.coalesce(F.col("__hits") / F.col("__n"), F.lit(0.0))
-    return docs.join(per, docs[id] == F.col("__doc"), "left").withColumn(out, F.when(F.col("__n").isNull(), F.lit(0.0)).otherwise(score)).drop("__doc", "__m", "__a", "__hits", "__n")
+    return docs.join(per, docs[doc or id] == F.col("__doc"), "left").withColumn(out, F.when(F.col("__n").isNull(), F.lit(0.0)).otherwise(score)).drop("__doc", "__m", "__a", "__hits", "__n")

@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,16 +195,17 @@ def foreach(rows: DataFrame, items: Column, variable: str, write):
     return rows, write(rows.withColumn(variable, F.explode(items)))
 
 
-def search_token(key: bytes):
-    """Keyed token of a text, for equality on encrypted values."""
+def token_of(text: Column, key: bytes | str) -> Column:
+    """Keyed token of a text, for equality on encrypted values: HMAC with SHA-256, from Spark's own hash.
 
-    @F.pandas_udf("binary")
-    def token(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else hmac.new(key, v.encode(), hashlib.sha256).digest())
-
-    return token
+    The key is padded to the hash's block and mixed with two constants; each gives one pass of the hash.
+    """
+    key = key.encode() if isinstance(key, str) else bytes(key)
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    return F.unhex(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256))
 
 
 def encrypted_equal(rows: DataFrame, column: str, value: str, key: bytes) -> DataFrame:
     wanted = hmac.new(key, value.encode(), hashlib.sha256).digest()
-    return rows.where(search_token(key)(F.col(column)) == F.lit(wanted))
+    return rows.where(token_of(F.col(column), key) == F.lit(wanted))

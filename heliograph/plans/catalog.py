@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.timeseries import visible
+
 MODES = ("strict", "validated", "flexible")
 
 
@@ -16,6 +18,7 @@ class NodeTable:
     df: DataFrame  # id and properties
     mode: str = "flexible"
     temporal: bool = False
+    versioned: bool = False  # rows carry created_at and deleted_at, their system time
     required: tuple[str, ...] = ()
     unique: tuple[str, ...] = ()
     defaults: dict[str, object] = field(default_factory=dict)
@@ -26,7 +29,8 @@ class NodeTable:
 
     def rows(self) -> DataFrame:
         """The table with defaults in place of nulls, which are applied on read."""
-        return self.df.fillna(self.defaults) if self.defaults else self.df
+        df = visible(self.df) if self.versioned else self.df
+        return df.fillna(self.defaults) if self.defaults else df
 
     def violations(self) -> DataFrame:
         """property, rule, rows of every broken NOT NULL or UNIQUE rule; empty if none is."""
@@ -48,11 +52,15 @@ class EdgeTable:
     source: str | None = None
     target: str | None = None
     temporal: bool = False
+    versioned: bool = False
 
     @property
     def properties(self) -> list[str]:
         return [c for c in self.df.columns if c not in ("src", "dst")]
 
+    def rows(self) -> DataFrame:
+        return visible(self.df) if self.versioned else self.df
+
 
 class GraphCatalog:
     """Registered labels and edge types; every query reads these DataFrames as they are."""
@@ -65,6 +73,7 @@ class GraphCatalog:
         self.triggers: dict[str, dict] = {}
         self.extensions: dict[str, object] = {}
         self.log: list[dict] = []  # queries with fingerprint and seconds, for the advisor
+        self.dismissed: set[int] = set()  # fingerprints that the advisor leaves out
 
     def node(self, label: str, df: DataFrame, id: str = "id", **options) -> GraphCatalog:
         df = df.withColumnRenamed(id, "id") if id != "id" else df
@@ -74,13 +83,13 @@ class GraphCatalog:
         self.nodes[label] = NodeTable(label, df, **options)
         return self
 
-    def edge(self, type: str, df: DataFrame, src: str = "src", dst: str = "dst", source: str | None = None, target: str | None = None, temporal: bool = False, distinct: bool = False) -> GraphCatalog:
+    def edge(self, type: str, df: DataFrame, src: str = "src", dst: str = "dst", source: str | None = None, target: str | None = None, temporal: bool = False, distinct: bool = False, versioned: bool = False) -> GraphCatalog:
         """distinct: df may name a pair twice, and adjacency is a set. Temporal types keep a row a version."""
         rest = [c for c in df.columns if c not in (src, dst)]
         df = df.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), *rest)
         if temporal and not {"valid_from", "valid_to"} <= set(df.columns):
             raise ValueError("a temporal edge type has valid_from and valid_to")
-        self.edges[type] = EdgeTable(type, df.dropDuplicates(["src", "dst"]) if distinct and not temporal else df, source, target, temporal)
+        self.edges[type] = EdgeTable(type, df.dropDuplicates(["src", "dst"]) if distinct and not temporal else df, source, target, temporal, versioned)
         return self
 
     def scan(self, label: str | None) -> DataFrame:
@@ -103,7 +112,7 @@ class GraphCatalog:
         out = None
         for t in types or [*self.edges]:
             ends = {"__sl": F.lit(self.edges[t].source).cast("string"), "__dl": F.lit(self.edges[t].target).cast("string")}
-            e = self.edges[t].df.withColumns({"__type": F.lit(t), "__a": F.col("src"), "__b": F.col("dst"), **ends})
+            e = self.edges[t].rows().withColumns({"__type": F.lit(t), "__a": F.col("src"), "__b": F.col("dst"), **ends})
             out = e if out is None else out.unionByName(e, allowMissingColumns=True)
         if out is None:
             return self.spark.createDataFrame([], "src long, dst long, __type string, __a long, __b long, __sl string, __dl string")
@@ -112,8 +121,19 @@ class GraphCatalog:
             return out
         return swapped if direction == "in" else out.unionByName(swapped.where("__a <> __b"))
 
+    def as_of(self, instant: Column) -> GraphCatalog:
+        """Versioned tables as they were at an instant; others as they are."""
+        out = self.copy()
+        for tables in (out.nodes, out.edges):
+            for name, t in tables.items():
+                if t.versioned:
+                    tables[name] = replace(t, df=visible(t.df, instant), versioned=False)
+        return out
+
     def copy(self) -> GraphCatalog:
+        """A catalogue with the same tables, which changes by itself; the log of queries is shared."""
         out = GraphCatalog(self.spark)
         for name in ("nodes", "edges", "indexes", "triggers", "extensions"):
             setattr(out, name, dict(getattr(self, name)))
+        out.log, out.dismissed = self.log, self.dismissed
         return out

@@ -109,6 +109,116 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+#: name -> (statement that writes, query over the graph after it, SQL)
+WRITES: dict[str, tuple[str, str, str]] = {
+    "text_create": (
+        "MATCH (n:Nation) WITH n ORDER BY n.n_name CREATE (:Supplier {s_name: n.n_name})",
+        "MATCH (s:Supplier) RETURN id(s) AS id, s.s_name AS name",
+        "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY n_name), n_name FROM nation",
+    ),
+    "text_create_edges": (
+        "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation) CREATE (s)-[:HOME {weight: 2}]->(n), (c:Card {of: s.s_name})-[:OF]->(s)",
+        "MATCH (c:Card)-[:OF]->(s:Supplier)-[h:HOME]->(n:Nation) RETURN c.of AS card, id(n) AS nation, h.weight AS weight",
+        "SELECT s_name AS card, s_nationkey::BIGINT AS nation, 2::BIGINT AS weight FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    ),
+    "text_set": (
+        "MATCH (s:Supplier) WHERE s.s_acctbal < 0 SET s.s_acctbal = 0.0, s += {mark: 'low', was: s.s_name}",
+        "MATCH (s:Supplier) RETURN id(s) AS id, s.s_acctbal AS balance, s.mark AS mark, s.was AS was",
+        "SELECT s_suppkey AS id, greatest(s_acctbal, 0) AS balance, CASE WHEN s_acctbal < 0 THEN 'low' END AS mark, CASE WHEN s_acctbal < 0 THEN s_name END AS was FROM supplier",
+    ),
+    "text_set_edges": (
+        "MATCH (o:Order)-[r:CONTAINS]->(p:Part) WHERE r.lines > 1 SET r.quantity = 0.0",
+        "MATCH (o:Order)-[r:CONTAINS]->(p:Part) RETURN id(o) AS o, id(p) AS p, r.quantity AS quantity",
+        "SELECT l_orderkey AS o, l_partkey AS p, CASE WHEN count(*) > 1 THEN 0.0 ELSE sum(l_quantity) END AS quantity FROM lineitem GROUP BY 1, 2",
+    ),
+    "text_remove": (
+        "MATCH (p:Part {p_size: 7}) REMOVE p.p_brand",
+        "MATCH (p:Part) RETURN id(p) AS id, p.p_brand AS brand",
+        "SELECT p_partkey AS id, CASE WHEN p_size <> 7 THEN p_brand END AS brand FROM part",
+    ),
+    "text_detach_delete": (
+        "MATCH (s:Supplier) WHERE s.s_acctbal < 0 DETACH DELETE s",
+        "MATCH (s:Supplier)-[:SUPPLIES]->(p:Part) RETURN id(s) AS s, id(p) AS p",
+        "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)",
+    ),
+    "text_delete_edges": (
+        "MATCH (c:Customer)-[r:IN_NATION]->(n:Nation) WHERE c.c_acctbal < 0 DELETE r",
+        "MATCH (c:Customer) WHERE NOT (c)-[:IN_NATION]->() RETURN id(c) AS id",
+        "SELECT c_custkey AS id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0 OR n_nationkey IS NULL",
+    ),
+    "text_merge": (
+        "MATCH (n:Nation) WITH n.n_name AS name UNWIND [name, 'Supplier#000000003'] AS x WITH DISTINCT x ORDER BY x MERGE (s:Supplier {s_name: x}) ON CREATE SET s.state = 'new' ON MATCH SET s.state = 'there'",
+        "MATCH (s:Supplier) RETURN id(s) AS id, s.s_name AS name, s.state AS state",
+        "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_name = 'Supplier#000000003' OR s_name IN (SELECT n_name FROM nation) THEN 'there' END AS state FROM supplier UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY x), x, 'new' FROM (SELECT n_name AS x FROM nation UNION SELECT 'Supplier#000000003') WHERE x NOT IN (SELECT s_name FROM supplier)",
+    ),
+    "text_merge_edges": (
+        "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation)-[:IN_REGION]->(r:Region) MERGE (s)-[x:IN_AREA]->(r) ON CREATE SET x.via = n.n_name",
+        "MATCH (s:Supplier)-[x:IN_AREA]->(r:Region) RETURN id(s) AS s, r.r_name AS region, x.via AS via",
+        "SELECT s_suppkey AS s, r_name AS region, n_name AS via FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    ),
+    "text_merge_all": (
+        "MERGE ALL (a:Region)-[t:TRADES]->(b:Region) ON CREATE SET t.level = 1",
+        "MATCH (a:Region)-[t:TRADES]->(b:Region) RETURN a.r_name AS a, b.r_name AS b, t.level AS level",
+        "SELECT a.r_name AS a, b.r_name AS b, 1::BIGINT AS level FROM region a, region b",
+    ),
+    "text_upsert": (
+        "MATCH (n:Nation) UPSERT MATCH (s:Supplier {s_nationkey: id(n)}) ON MATCH SET s.nation = n.n_name ON CREATE CREATE (:Supplier {s_name: 'of ' + n.n_name, nation: n.n_name})",
+        "MATCH (s:Supplier) RETURN s.s_name AS name, s.nation AS nation",
+        "SELECT s_name AS name, n_name AS nation FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'of ' || n_name, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
+    ),
+    "text_foreach": (
+        "MATCH (r:Region) FOREACH (i IN range(1, 3) | CREATE (:Tag {region: r.r_name, i: i * 10}))",
+        "MATCH (t:Tag) RETURN t.region AS region, t.i AS i",
+        "SELECT r_name AS region, i::BIGINT AS i FROM region, (VALUES (10), (20), (30)) t(i)",
+    ),
+    "text_merge_nodes": (
+        "MATCH (a:Supplier) MATCH (b:Supplier) WHERE id(b) = id(a) + 1 AND id(a) % 2 = 1 MERGE NODES (a, b) INTO a ON CONFLICT KEEP LAST TRANSFER EDGES FROM b TO a ON DUPLICATE MERGE PROPERTIES",
+        "MATCH (s:Supplier)-[:SUPPLIES]->(p:Part) RETURN s.s_name AS name, id(p) AS part",
+        "SELECT DISTINCT s.s_name AS name, l_partkey AS part FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier s ON s.s_suppkey = least(CASE WHEN l_suppkey % 2 = 1 THEN l_suppkey + 1 ELSE l_suppkey END, (SELECT max(s_suppkey) FROM supplier))",
+    ),
+    "text_clone": (
+        "MATCH (s:Supplier) WHERE s.s_acctbal < 0 WITH s ORDER BY id(s) CLONE NODE s AS c WITH EDGES SET c.s_acctbal = 0.0",
+        "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation) RETURN id(s) AS id, s.s_name AS name, s.s_acctbal AS balance, id(n) AS nation",
+        "SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, s_nationkey::BIGINT AS nation FROM supplier UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY s_suppkey), s_name, 0.0, s_nationkey FROM supplier WHERE s_acctbal < 0",
+    ),
+    "text_redirect": (
+        "MATCH (a:Supplier {s_name: 'Supplier#000000002'}) MATCH (b:Supplier {s_name: 'Supplier#000000005'}) REDIRECT EDGES FROM a TO b WHERE type(r) IN ['SUPPLIES'] DIRECTION OUTGOING",
+        "MATCH (s:Supplier)-[:SUPPLIES]->(p:Part) RETURN id(s) AS s, id(p) AS p",
+        "SELECT DISTINCT CASE WHEN l_suppkey = 2 THEN 5 ELSE l_suppkey END AS s, l_partkey AS p FROM lineitem JOIN part ON p_partkey = l_partkey",
+    ),
+    "text_detach_document": (
+        "MATCH (s:Supplier) SET s.info = {balance: s.s_acctbal, name: s.s_name} DETACH DOCUMENT s.info AS (i:Info)<-[:HAS_INFO]-(s)",
+        "MATCH (s:Supplier)-[:HAS_INFO]->(i:Info) RETURN id(s) AS id, i.balance AS balance, i.name AS name, s.info IS NULL AS gone",
+        "SELECT s_suppkey AS id, s_acctbal AS balance, s_name AS name, TRUE AS gone FROM supplier",
+    ),
+    "text_attach_document": (
+        "ATTACH (n:Nation)<-[:BASED_IN]-(s:Supplier) INTO s.home",
+        "MATCH (s:Supplier) RETURN id(s) AS id, s.home.n_name AS home",
+        "SELECT s_suppkey AS id, n_name AS home FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey",
+    ),
+}
+
+
+def _write(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    statement, query, _ = WRITES[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Graph(star_graph(spark, sf_dir)).write(statement).graph.query(query)
+
+    run.__name__ = name
+    run.__doc__ = statement
+    return run
+
+
+_SCORES = f"SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]) AS a FROM embeddings"
+graph_text("rrf_in_text", "MATCH (v:Vec) RETURN id(v) AS id, round(rrf_score([v.embedding], {vector: $q}) * 1000000) AS score", f"WITH s AS ({_SCORES}) SELECT id, round(1000000.0::DOUBLE / (60 + rank() OVER (ORDER BY a DESC))) AS score FROM s", q=_Q)
+graph_text("cc_in_text", "MATCH (v:Vec) RETURN id(v) AS id, round(cc_score([v.embedding], {vector: $q}, {vector: 0.7, text: 0.3}) * 100000) AS score", f"WITH s AS ({_SCORES}) SELECT id, round(0.7 * (a - (SELECT min(a) FROM s)) / (SELECT max(a) - min(a) FROM s) * 100000) AS score FROM s", q=_Q)
+graph_text("dbsf_in_text", "MATCH (v:Vec) WITH id(v) AS id, dbsf_score([v.embedding], {vector: $q}, {vector: 2.0}) AS s RETURN id, round(s * 100000) AS score", f"WITH s AS ({_SCORES}) SELECT id, round(2 * (a - (SELECT avg(a) FROM s)) / (SELECT stddev_pop(a) FROM s) * 100000) AS score FROM s", q=_Q)
+graph_text("doc_score_in_text", "MATCH (d:Document) RETURN id(d) AS id, round(doc_score(d, $q) * 100000) AS score", f"WITH c AS (SELECT vec_id % 50 AS d, list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]) AS s FROM embeddings), g AS (SELECT d, greatest(max(s), 0) AS m, avg(s) AS a, sum((s > 0)::INT) / count(*) AS k FROM c GROUP BY d) SELECT doc_id AS id, round(CASE WHEN d IS NULL THEN 0 ELSE 0.5 * m + 0.3 * a + 0.2 * k END * 100000)::DOUBLE AS score FROM documents LEFT JOIN g ON d = doc_id", q=_Q)
+graph_text("hybrid_in_text", "MATCH (v:Vec) WHERE vector_distance(v.embedding, $q) < 1.1 RETURN id(v) AS id, round(hybrid_score(v, '') * 100000) AS score", f"WITH s AS (SELECT vec_id AS id, list_distance(embedding::DOUBLE[], {_Q}::DOUBLE[]) AS d FROM embeddings) SELECT id, round(0.65::DOUBLE / (1 + d) * 100000) AS score FROM s WHERE d < 1.1", q=_Q)
+graph_text("regex_bad_pattern", "MATCH (n:Nation) WHERE NOT n.n_name =~ '(' RETURN count(*) AS n", "SELECT count(*) AS n FROM nation")
+
+
 #: name -> (function, SQL)
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -329,9 +439,9 @@ def document_updates(spark, sf_dir):
     return ev.select("id", F.concat(F.lit("["), F.array_join(F.col("tags").cast("array<string>"), ", "), F.lit("]")).alias("tags"), mutate.doc_inc(F.col("hits"), 1 + F.col("id")).alias("hits"))
 
 
-@registered(None)
+@registered("SELECT s_suppkey AS id FROM supplier WHERE s_name = 'Supplier#000000007'")
 def encrypted_match(spark, sf_dir):
-    """Equality on keyed tokens."""
+    """Equality on keyed tokens: the rows whose plain value it is."""
     people = _people(spark, sf_dir)
     return mutate.encrypted_equal(people, "name", "Supplier#000000007", b"key").select("id")
 
@@ -349,5 +459,5 @@ def keyset_page(spark, sf_dir):
     return timeseries.page(part, "id", 100, 40)
 
 
-QUERIES = {**{n: _run(n) for n in TEXTS}, **{n: f for n, (f, _) in OTHERS.items()}}
-ORACLES = {**{n: s for n, (_, s, _) in TEXTS.items() if s}, **{n: s for n, (_, s) in OTHERS.items() if s}}
+QUERIES = {**{n: _run(n) for n in TEXTS}, **{n: _write(n) for n in WRITES}, **{n: f for n, (f, _) in OTHERS.items()}}
+ORACLES = {**{n: s for n, (_, s, _) in TEXTS.items() if s}, **{n: s for n, (_, _, s) in WRITES.items()}, **{n: s for n, (_, s) in OTHERS.items() if s}}
