@@ -182,7 +182,7 @@ def score(docs: DataFrame, machine: Machine, *, doc_id: str = "doc_id", text: st
     return scored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), machine, "score").select("doc_id", "score")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, most_per_class: int = 3000, folds: int = 5, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, most_per_class: int = 2000, folds: int = 5, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
     """text, toxic, stands (labels of its class for each in the sample) of the sample: never documents of fold 0."""
     ids = (
         labels.select(F.col(doc_id).alias("i"), F.col(toxic).cast("int").alias("toxic"))
@@ -199,7 +199,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, most_per_class: int =
     return docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(picked), "i").select("text", "toxic", "stands")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, train_docs: DataFrame | None = None, most_per_class: int = 3000, **columns) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, train_docs: DataFrame | None = None, most_per_class: int = 2000, **columns) -> DataFrame:
     """doc_id, score in 0 to 1, predicted (1 if score >= 0.5). train_docs: where labelled texts are, if not in docs."""
     sample = labelled_sample(docs if train_docs is None else train_docs, labels, most_per_class=most_per_class, **columns)
     return score(docs, train(sample), **columns).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
