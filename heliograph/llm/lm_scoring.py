@@ -23,8 +23,18 @@ are split by the following word; only their sums, as many as there are splits,
 reach the driver. Everything is linear in the tokens, and nothing that
 grows with the vocabulary is held in one place.
 
+A chunk meets its words' answers, and its documents their sums, in a partition by a mix of its number, of
+which there are as many as the tokens need: a task holds a few chunks, however large the splits that
+documents are read in.
+
 RDDs of packed columns are used, as one shuffle then serves both the counts of
-counts and the scores; lost outputs are made anew from the documents.
+counts and the scores; lost outputs are made anew from the documents. So the documents must come in the same
+order each time they are read, as those of a table do; a frame that is the result of a shuffle is written
+first (shared.written). Chunks are not written themselves: that would take 0.8 of the input in disk, and the
+shuffles take 3.7 of the 4 allowed.
+
+The order is two: of each word the one before it is the context, so backing off has one step. Triples would
+carry a third column through the largest shuffle, 1.6 times the input as it is, and pass that limit.
 
 Defined results: null or empty text is its end token alone; null ids are
 trained on; an empty table, or one with no training documents, gives c = 0, N = 0
@@ -179,28 +189,33 @@ def _word_stats(k: int, index: int, rows: Iterator) -> Iterator:
     yield int(count.sum()), int((count > 0).sum()), kinds, [(index, len(count))]
 
 
-def _answer_words(starts: dict[int, int], index: int, rows: Iterator) -> Iterator:
-    """(chunk's partition, (chunk, partition of words, ids, counts)); ids of words that training has not are 0."""
+def _answer_words(starts: dict[int, int], n_places: int, index: int, rows: Iterator) -> Iterator:
+    """(place of a chunk, (chunk, partition of words, ids, counts)); ids of words that training has not are 0."""
     pieces, count, _, parts = _sum_words(rows)
     for x, at in zip(pieces, parts, strict=True):
         c = count[at]
-        yield x[0], (x[1], index, planes(np.where(c > 0, starts[index] + at + 1, 0)), planes(c))
+        yield _place(x[0], x[1], n_places), ((x[0], x[1]), index, planes(np.where(c > 0, starts[index] + at + 1, 0)), planes(c))
+
 
+def _place(part: int, at: int, n_places: int) -> int:
+    """The partition in which a chunk, the at-th of a partition of documents, meets what belongs to it."""
+    return int(_mix(np.array([part << 24 | at]))[0] % np.uint64(n_places))
 
-def _own_chunks(index: int, rows: Iterator) -> Iterator:
+
+def _own_chunks(n_places: int, index: int, rows: Iterator) -> Iterator:
     """Chunks on their way to where their words' answers go."""
     for at, row in enumerate(rows):
-        yield index, (at, row)
+        yield _place(index, at, n_places), ((index, at), row)
 
 
 def _together(rows: Iterator) -> Iterator:
     """(chunk's row, (ids, counts) of its words) of each chunk of a partition."""
     own, answers = {}, defaultdict(list)
-    for key, x in rows:
+    for _, x in rows:
         if len(x) == 2:
-            own[key, x[0]] = x[1]
+            own[x[0]] = x[1]
         else:
-            answers[key, x[0]].append(x[1:])
+            answers[x[0]].append(x[1:])
     for key in sorted(own):
         pieces = sorted(answers.pop(key))
         yield key, (own.pop(key), (b"".join(unplanes(x[1]).tobytes() for x in pieces), b"".join(unplanes(x[2]).tobytes() for x in pieces)))
@@ -308,8 +323,8 @@ def _weights(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return divisor, (1 - mass / divisor) / np.maximum(1 - sums[:, -1], 1e-300)
 
 
-def _score_pairs(u1: Unigrams, d: np.ndarray, k: int, table, rows: Iterator) -> Iterator:
-    """((chunk's partition, chunk), (documents, sums of log10 P))"""
+def _score_pairs(u1: Unigrams, d: np.ndarray, k: int, table, n_places: int, rows: Iterator) -> Iterator:
+    """(place of a chunk, (chunk, documents, sums of log10 P))"""
     x = Pairs.of(u1, rows)
     if x is None:
         return
@@ -329,11 +344,11 @@ def _score_pairs(u1: Unigrams, d: np.ndarray, k: int, table, rows: Iterator) ->
         doc = x.doc[mine]
         total = np.bincount(doc, log[x.kind[mine]])
         used = np.unique(doc)
-        yield part, (n, used.astype("<u4").tobytes(), total[used].astype("<f8").tobytes())
+        yield _place(part, n, n_places), ((part, n), used.astype("<u4").tobytes(), total[used].astype("<f8").tobytes())
 
 
-def _documents(u1: Unigrams, n_words: int, start: int, rows: Iterator) -> Iterator:
-    """(chunk, per-document columns); score: of tokens after unknown words."""
+def _documents(u1: Unigrams, n_words: int, start: int, n_places: int, rows: Iterator) -> Iterator:
+    """(place of a chunk, per-document columns); score: of tokens after unknown words."""
     for (index, at), (row, answer) in _together(rows):
         c, ids, count = _known(row, answer, n_words)
         first = np.cumsum(c.counts) - c.counts
@@ -341,16 +356,16 @@ def _documents(u1: Unigrams, n_words: int, start: int, rows: Iterator) -> Iterat
         base = np.log10((cv + 0.5) / (u1.total + 0.5 * (u1.kinds + 1)))
         alone = np.where(_contexts(c, ids, start) > 0, 0.0, np.log10(np.maximum(u1.p(cv), 1e-300)))
         add = lambda x, first=first: np.add.reduceat(x, first)
-        yield index, (at, c.ids, c.held.tolist(), c.counts.tolist(), add((cv > 0).astype(np.int64)).tolist(), add(base).tolist(), add(alone).tolist())
+        yield _place(index, at, n_places), ((index, at), c.ids, c.held.tolist(), c.counts.tolist(), add((cv > 0).astype(np.int64)).tolist(), add(base).tolist(), add(alone).tolist())
 
 
 def _join(total: int, rows: Iterator) -> Iterator:
     docs, sums = {}, defaultdict(list)
-    for part, x in rows:
+    for _, x in rows:
         if len(x) == 3:
-            sums[part, x[0]].append(x[1:])
+            sums[x[0]].append(x[1:])
         else:
-            docs[part, x[0]] = x[1:]
+            docs[x[0]] = x[1:]
     for key in sorted(docs):
         ids, held, n, known, base, score = docs[key]
         score = np.array(score)
@@ -402,18 +417,19 @@ def katz_scores(docs: DataFrame, held: str, *, k: int = 5, chunk_tokens: int = 7
     for i, size in sorted(sizes):
         starts[i], at = at, at + size
     u1, start = Unigrams.of(total, kinds, n, k), at + 1
-    answers = words.mapPartitionsWithIndex(partial(_answer_words, starts))
-    both = _side_by_side(answers, rows.mapPartitionsWithIndex(_own_chunks), rows.getNumPartitions())
-
     tokens = max(total, 1) * 5 // 4
+    # A few chunks in each place.
+    n_places = max(fewest, -(-tokens // (4 * chunk_tokens)))
+    answers = words.mapPartitionsWithIndex(partial(_answer_words, starts, n_places))
+    both = _side_by_side(answers, rows.mapPartitionsWithIndex(partial(_own_chunks, n_places)), n_places)
+
     pairs, n_pairs = dealt(both, max(fewest, -(-tokens // part_tokens)), lambda n: both.mapPartitions(partial(_send_pairs, u1, n_words, n, start, shape["trained"])))
     kinds_by_count, split = pairs.mapPartitions(partial(_pair_stats, u1, k)).treeReduce(_add_stats)
     d = discounts(kinds_by_count, k)
     names = sorted(split)
     divisor, alpha = _weights(np.array([split[u] for u in names]).reshape(-1, k + 2), d)
     weights = spark.sparkContext.broadcast(dict(zip(names, zip(divisor.tolist(), alpha.tolist(), strict=True), strict=True)))
-    scores = pairs.mapPartitions(partial(_score_pairs, u1, d, k, weights))
-    # Keys are a partition and a chunk's number in it; all of a partition's go together.
-    per_chunk = both.mapPartitions(partial(_documents, u1, n_words, start))
-    joined = _side_by_side(per_chunk, scores, rows.getNumPartitions()).mapPartitions(partial(_join, total))
+    scores = pairs.mapPartitions(partial(_score_pairs, u1, d, k, weights, n_places))
+    per_chunk = both.mapPartitions(partial(_documents, u1, n_words, start, n_places))
+    joined = _side_by_side(per_chunk, scores, n_places).mapPartitions(partial(_join, total))
     return spark.createDataFrame(joined, result)
