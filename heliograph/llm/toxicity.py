@@ -94,8 +94,10 @@ def train(labelled: DataFrame, *, bits: int = 20, factors: int = 8, steps: int =
     if len({*y.tolist()}) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Machine(bits, float(np.log(max(share, 1e-300) / max(1 - share, 1e-300))), {}, np.zeros(0), np.zeros((0, factors)))
-    at = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) // 4 for r in rows])
     buckets, x = np.unique(np.frombuffer(b"".join(r[1] for r in rows), "<i4"), return_inverse=True)
+    x = x.astype(np.int32)
+    del rows
     w, v, bias = _fit(y, weight / weight.sum(), at, x, len(buckets), factors, steps, refit, rate, least_weight, least_factor, seed)
     live = np.flatnonzero((w != 0) | (v != 0).any(1))
     return Machine(bits, bias, {b: i for i, b in enumerate(buckets[live].tolist())}, w[live], v[live])
@@ -110,8 +112,17 @@ def _raw(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, x: np.ndarra
     return bias + np.bincount(at, w[x], n) + 0.5 * (s * s - _sums(at, v[x] ** 2, n)).sum(1), s
 
 
+def _tally(index: np.ndarray, n: int, weigh, step: int = 1 << 18) -> np.ndarray:
+    """Sums of weigh(slice) by index, a stretch of entries at a time."""
+    out = np.zeros(n)
+    for a in range(0, len(index), step):
+        part = slice(a, a + step)
+        out += np.bincount(index[part], weigh(part), n)
+    return out
+
+
 def _fit(y, weight, at, x, n_terms, factors, steps, refit, rate, least_weight, least_factor, seed):
-    """Full-batch Adam with proximal steps on the weighted log loss; one factor at a time, to stay small."""
+    """Full-batch Adam with proximal steps on the weighted log loss; one factor and one stretch of entries at a time, to stay small."""
     rng, n = np.random.default_rng(seed), len(y)
     w, v = np.zeros(n_terms), rng.normal(0, 0.4 / np.sqrt(max(1.0, len(at) / n)), (n_terms, factors))
     share = float((weight * y).sum() / weight.sum())
@@ -122,18 +133,18 @@ def _fit(y, weight, at, x, n_terms, factors, steps, refit, rate, least_weight, l
     for t in range(1, steps + 1):
         shrink = float(t <= steps - refit)
         s = np.zeros((n, factors))
-        raw = bias + np.bincount(at, w[x], n)
+        raw = bias + _tally(at, n, lambda p: w[x[p]])
         for f in range(factors):
-            z = v[terms_, f]
-            s[:, f] = np.bincount(rows, z, n)
-            raw += 0.5 * (s[:, f] ** 2 - np.bincount(rows, z * z, n))
+            vf = v[:, f]
+            s[:, f] = _tally(rows, n, lambda p, vf=vf: vf[terms_[p]])
+            raw += 0.5 * (s[:, f] ** 2 - _tally(rows, n, lambda p, vf=vf: vf[terms_[p]] ** 2))
         g = (_sigmoid(raw) - y) * weight
-        grad = [np.array([g.sum()]), np.bincount(x, g[at], n_terms), np.zeros_like(v)]
-        square = [np.bincount(x, g[at] ** 2, n_terms), np.zeros(n_terms)]
+        grad = [np.array([g.sum()]), _tally(x, n_terms, lambda p: g[at[p]]), np.zeros_like(v)]
+        square = [_tally(x, n_terms, lambda p: g[at[p]] ** 2), np.zeros(n_terms)]
         for f in range(factors):
-            each = g[rows] * (s[rows, f] - v[terms_, f])
-            grad[2][:, f] = np.bincount(terms_, each, n_terms)
-            square[1] += np.bincount(terms_, each * each, n_terms)
+            each = lambda p, vf=v[:, f], sf=s[:, f]: g[rows[p]] * (sf[rows[p]] - vf[terms_[p]])
+            grad[2][:, f] = _tally(terms_, n_terms, each)
+            square[1] += _tally(terms_, n_terms, lambda p, each=each: each(p) ** 2)
         first, second = 1 - 0.9**t, 1 - 0.99**t
         for k in range(3):
             m[k] = 0.9 * m[k] + 0.1 * grad[k]
