@@ -321,7 +321,9 @@ def linked(docs: DataFrame, *, tau: int = 3, shingle: int = 3, seeds: tuple[int,
             for end in ("a", "b"):
                 pairs = pairs.join(named.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}")), end).drop(end).withColumnRenamed(f"rep_{end}", end)
             shared = own.join(named.where("n > 1"), "fp").select(F.col("rep").alias("a"), F.col("c").alias("b"))
-            found = pairs.select("a", "b").union(shared)
+            # Each seed's links are a table, so that no plan holds those of all.
+            found = written(pairs.select("a", "b").union(shared), "links")
+            released(docs.sparkSession, mark() - 2, mark() - 1)
         edges = found if edges is None else edges.union(found)
     return marks, classes, components(edges)
 

@@ -86,13 +86,13 @@ def test_stages_against_plain_python(spark, tables, tmp_path):
     want = {d: t for d, t in want.items() if raw(t) < 0}
     assert texts(clean) == want and not any("zork" in t for t in want.values()) and len(want) > 60
 
-    # Near-duplicates: any of seven fingerprints within 6 bits.
+    # Near-duplicates: any of five fingerprints within 6 bits.
     def marks(text, seed):
         w = text.encode().lower().split()
         h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), seed) for i in range(len(w) - 2)]
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
-    prints = {d: [marks(t, s) for s in range(42, 49)] for d, t in want.items()}
+    prints = {d: [marks(t, s) for s in range(42, 47)] for d, t in want.items()}
     up = {d: d for d in prints}
     changed = True
     while changed:
