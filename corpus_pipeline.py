@@ -26,11 +26,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have 0.8 of their five-word shingles in common with no kept document of their component.
 
-    Components only propose: they hold texts linked at 6 or fewer differing bits of one of seven fingerprints.
+    Components only propose: they hold texts linked at 6 or fewer differing bits of one of five fingerprints.
     One fingerprint at 3 bits, as op10's contract has it, links a fifth of such pairs; the README has the shares
     that more bits and more fingerprints link.
     """
-    return simhash.deduplicated(docs, tau=6, seeds=tuple(range(42, 49)), least_share=0.8)
+    return simhash.deduplicated(docs, tau=6, seeds=tuple(range(42, 47)), least_share=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
