@@ -189,7 +189,7 @@ def group_links(columns: list[np.ndarray], fp: np.ndarray, own: np.ndarray, tau:
     """Links within groups of rows, which are sorted by the group columns.
 
     Every own row is compared with all rows of its group, for all groups at once. Where
-    a group has more links than eight for each row, it gives a spanning forest instead.
+    a group has more links than two for each row, it gives a spanning forest instead.
     """
     n = len(fp)
     new = np.zeros(n, bool)
@@ -215,7 +215,7 @@ def group_links(columns: list[np.ndarray], fp: np.ndarray, own: np.ndarray, tau:
     if not a:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     a, b = np.concatenate(a), np.concatenate(b)
-    dense = np.bincount(group[a], minlength=len(sizes)) > 8 * sizes
+    dense = np.bincount(group[a], minlength=len(sizes)) > 2 * sizes
     if dense.any():
         keep = ~dense[group[a]]
         more = [np.zeros((0, 2), np.int64)]
