@@ -89,7 +89,7 @@ def bind(value: Column, body) -> Column:
 _shipped: set[str] = set()
 
 
-def python_workers(spark: SparkSession, rows: int = 2000) -> None:
+def python_workers(spark: SparkSession, rows: int = 1000) -> None:
     """Make ready for Python functions on executors.
 
     Executors get this package from the driver, once for an application. Arrow

@@ -61,15 +61,15 @@ def terms(word: str, bits: int) -> list[int]:
 class _Buckets(dict):
     """word -> rows of the machine for its terms; bounded."""
 
-    def __init__(self, index: dict[int, int] | None, bits: int, most: int = 500_000) -> None:
+    def __init__(self, index: dict[int, int] | None, bits: int, most: int = 150_000) -> None:
         super().__init__()
         self.index, self.bits, self.most = index, bits, most
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
         found = terms(word, self.bits)
-        self[word] = out = found if self.index is None else [self.index[b] for b in found if b in self.index]
+        self[word] = out = tuple(found if self.index is None else (self.index[b] for b in found if b in self.index))
         return out
 
 
