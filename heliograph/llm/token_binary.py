@@ -12,7 +12,7 @@ writer commits the files, so a retried task leaves no second copy, and any store
 that Spark writes to can hold them. The rank table is a file of its own.
 
 Defined results: null or empty text is its end id alone; null ids come first;
-equal ids are ordered by their number of tokens, then by a hash of these; equal rows and null
+equal ids are ordered by their number of tokens, then as they come; equal rows and null
 ids are split over files like any others; ids are whole numbers of at most 64 bits, and any
 other type is an error before anything runs; an empty table gives empty files; other
 columns are not read.
@@ -151,7 +151,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, *, end: int = 1, blo
             yield flush()
 
     # The row number splits a range of equal ids, even of equal rows.
-    order_by = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.xxhash64("ids"), F.col("row")]
+    order_by = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("row")]
     in_order = ids.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     in_order.select("doc_id", "n", "ids").mapInArrow(block, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     spark.createDataFrame([(np.array(order, "<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
