@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks, and words, kept by a worker, about 150 bytes each; beyond, the caches start anew.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 700_000
 #: A word of letters that lower-casing and normal forms treat one by one, and a run of marks.
 LETTERS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"
 PLAIN = re.compile(rf"([ \n]?{LETTERS})([!-/:-@\[-`{{-~]*)")
