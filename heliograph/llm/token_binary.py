@@ -87,15 +87,27 @@ def tokenized(docs: DataFrame, tokenizer: str, *, end: int = 1, doc_id: str = "d
             ids, texts = batch.column(0), batch.column(1)
             for a, b in tokens.text_slices(texts):
                 flat, sizes = tokens.with_end(*t.ids(texts[a:b]), end)
-                raw, ends = flat.astype(kind).tobytes(), np.concatenate([[0], np.cumsum(sizes)]) * kind.itemsize
-                rows = [raw[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 row = pa.array(np.arange(number, number + b - a), pa.int64())
                 number += b - a
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary()), row], ["doc_id", "n", "ids", "row"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), _cells(flat.astype(kind), sizes), row], ["doc_id", "n", "ids", "row"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, "doc_id long, n long, ids binary, row long")
 
 
+def _cells(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A cell of bytes for each document of a run, over the ids' own buffer."""
+    ends = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    cells = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends * flat.itemsize), pa.py_buffer(flat)])
+    return cells.cast(pa.binary())
+
+
+def _flat(cells: pa.Array, kind: np.dtype) -> np.ndarray:
+    """The ids of all cells on end, without a copy."""
+    offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    return np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind) if len(cells) and offsets[-1] > offsets[0] else np.zeros(0, kind)
+
+
 def _width(tokenizer: str) -> np.dtype:
     from tokenizers import Tokenizer
 
@@ -108,10 +120,9 @@ def id_counts(ids: DataFrame, kind: np.dtype) -> list[tuple[int, int]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                c = np.bincount(np.frombuffer(raw.as_buffer(), kind), minlength=len(total))
-                c[: len(total)] += total
-                total = c
+            c = np.bincount(_flat(batch.column(0), kind), minlength=len(total))
+            c[: len(total)] += total
+            total = c
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "c"])
 

@@ -120,7 +120,9 @@ class ChunkTokenizer:
         for chunk in new:
             if m := plain(chunk):
                 word, marks = m.groups()
-                pairs.append(unit(word.lower() if lower else word))
+                word = word.lower() if lower else word
+                # A word alone shares its text with the chunk.
+                pairs.append(unit(chunk if word == chunk else word))
                 pairs.append(unit(marks) if marks else none)
             else:
                 pairs += (unit(chunk), none)
