@@ -96,6 +96,26 @@ def _null_if(c, t):
     return F.when(~c[0].eqNullSafe(c[1]), c[0])
 
 
+def _normal_form(text: Column, form: Column) -> Column:
+    @F.pandas_udf("string")
+    def normal(texts, forms):
+        import unicodedata
+
+        known = {"NFC", "NFD", "NFKC", "NFKD"}
+        pairs = zip(texts, forms.str.upper(), strict=True)
+        return texts.__class__([unicodedata.normalize(f, x) if isinstance(x, str) and f in known else None for x, f in pairs], dtype=object)
+
+    return normal(text, form)
+
+
+def _normalize(c, t):
+    """A Unicode normal form, NFC unless named; Spark has no such function, so it runs in Arrow batches. A form of another type counts as none."""
+    if not is_text(t[0]):
+        return F.lit(None).cast("string")
+    form = F.coalesce(c[1], F.lit("NFC")) if len(c) > 1 and is_text(t[1]) else F.lit("NFC")
+    return _normal_form(c[0], form)
+
+
 def value_type(t) -> str:
     for kinds, name in (((T.BooleanType,), "BOOLEAN"), ((T.StringType,), "STRING"), ((T.ArrayType,), "LIST"), ((T.MapType, T.StructType), "MAP"), ((T.TimestampType, T.TimestampNTZType), "TIMESTAMP"), ((T.BinaryType,), "BINARY"), ((T.NullType,), "NULL")):
         if isinstance(t, kinds):
@@ -154,6 +174,7 @@ SCALAR = {
     "replace": _text(lambda s, a, b: F.replace(s, a, b)),
     "reverse": _reverse,
     "split": _split,
+    "normalize": _normalize,
     "charlength": _text(lambda s: F.char_length(s).cast("long")),
     "character_length": _text(lambda s: F.char_length(s).cast("long")),
     "pi": lambda c, t: F.lit(3.141592653589793), "e": lambda c, t: F.lit(2.718281828459045),

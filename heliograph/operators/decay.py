@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .mutate import Edges, delete_nodes
+
+SCOPES = ("node", "field", "subtree")
+
 
 def _bounded(age: Column, value: Column) -> Column:
     """NULL without an anchor; nothing is younger than new."""
@@ -49,3 +53,23 @@ def expire_fields(rows: DataFrame, fields: list[str], anchor: Column, seconds: f
     """rows with the fields NULL where expired."""
     alive = anchor.isNull() | (age_of(anchor, now) <= seconds)
     return rows.withColumns({f: F.when(alive, F.col(f)) for f in fields})
+
+
+def expire_subtree(rows: DataFrame, anchor: str, seconds: float, now: Column, target: str | None = None) -> DataFrame:
+    """rows with the document property `target`, or the anchor where none is named, NULL where expired.
+
+    With a target the anchor stays, so a further pass finds nothing left to do. A target that
+    no row has changes nothing.
+    """
+    field = target or anchor
+    return expire_fields(rows, [field], F.col(anchor), seconds, now) if field in rows.columns else rows
+
+
+def reap(nodes: DataFrame, edges: Edges, anchor: str, seconds: float, now: Column, scope: str = "node", target: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """One pass over a label's nodes: expired ones go with their edges, or lose the anchor (field) or a document (subtree)."""
+    if scope not in SCOPES:
+        raise ValueError(f"a time to live has the scope {', '.join(SCOPES)}, not {scope}")
+    if scope == "node":
+        late = nodes.where(F.col(anchor).isNotNull() & (age_of(F.col(anchor), now) > seconds))
+        return delete_nodes(nodes, edges, late.select("id"), detach=True)
+    return expire_subtree(nodes, anchor, seconds, now, target if scope == "subtree" else None), {t: e for t, (e, _, _) in edges.items()}

@@ -67,6 +67,7 @@ graph_text("exists_any_label", "MATCH (x) WHERE EXISTS { (x)-[:BASED_IN]->(:Nati
 graph_text("exists_filter_any_label", "MATCH (x) WHERE EXISTS { (x)-[:BASED_IN]->(:Nation) } RETURN count(*) AS n", "SELECT count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 graph_text("temporal_active", "MATCH (u:User)-[r:DID]->(t:EventType) WHERE temporal_active_at(r, $t) RETURN id(u) AS user, t.name AS doing", "WITH e AS (SELECT *, epoch_us(ts) // 1000 AS f, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS u FROM events) SELECT user_id AS user, event_type AS doing FROM e WHERE f <= 1705320000000 AND (u IS NULL OR u > 1705320000000)", t=1705320000000)
 graph_text("temporal_overlaps", "MATCH (u:User)-[r:DID]->(t:EventType) WHERE temporal_overlaps(r, $a, $b) AND r.value > 50 RETURN id(u) AS user, t.name AS doing, r.valid_from AS since", "WITH e AS (SELECT *, epoch_us(ts) // 1000 AS f, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS u FROM events) SELECT user_id AS user, event_type AS doing, f AS since FROM e WHERE f < 1705406400000 AND (u IS NULL OR u > 1705320000000) AND value > 50", a=1705320000000, b=1705406400000)
+graph_text("normal_forms", "MATCH (d:Document) RETURN id(d) AS id, normalize(d.text) AS nfc, normalize(d.lang, 'none such') AS unknown, size(normalize(d.text)) AS bytes", "SELECT doc_id AS id, nfc_normalize(text) AS nfc, CAST(NULL AS VARCHAR) AS unknown, strlen(nfc_normalize(text)) AS bytes FROM documents")
 graph_text("string_functions", "MATCH (c:Customer) RETURN id(c) AS id, toLower(c.c_name) AS lo, toUpper(c.c_mktsegment) AS up, left(c.c_name, 3) AS l, right(c.c_name, 4) AS r, substring(c.c_name, 2, 5) AS s, replace(c.c_name, '#', '-') AS x, reverse(c.c_mktsegment) AS rev, size(c.c_name) AS n, split(c.c_name, '#')[0] AS head, trim('  a ') AS t", "SELECT c_custkey AS id, lower(c_name) AS lo, upper(c_mktsegment) AS up, left(c_name, 3) AS l, right(c_name, 4) AS r, substr(c_name, 3, 5) AS s, replace(c_name, '#', '-') AS x, reverse(c_mktsegment) AS rev, strlen(c_name) AS n, string_split(c_name, '#')[1] AS head, 'a' AS t FROM customer")
 graph_text("math_functions", "MATCH (p:Part) RETURN id(p) AS id, abs(p.p_size - 25) AS a, ceil(p.p_retailprice) AS c, floor(p.p_retailprice) AS f, sign(p.p_size - 25) AS s, sqrt(p.p_size * p.p_size) AS q, round(log10(p.p_size) * 1000000) AS l, round(sin(p.p_size) * 1000000) AS sn, round(haversin(radians(p.p_size)) * 1000000) AS h, p.p_size % 7 AS m, p.p_size / 7 AS d, p.p_size / 0 AS z", "SELECT p_partkey AS id, abs(p_size - 25)::BIGINT AS a, ceil(p_retailprice)::DOUBLE AS c, floor(p_retailprice)::DOUBLE AS f, sign(p_size - 25)::BIGINT AS s, sqrt(p_size * p_size) AS q, round(log10(p_size) * 1000000) AS l, round(sin(p_size) * 1000000) AS sn, round((1 - cos(radians(p_size))) / 2 * 1000000) AS h, (p_size % 7)::BIGINT AS m, (p_size // 7)::BIGINT AS d, NULL::BIGINT AS z FROM part")
 graph_text("conversions", "MATCH (o:Order) RETURN id(o) AS id, toInteger('3.7') AS i, toFloat('2.5') AS f, toBoolean('TRUE') AS b, toInteger('x') AS bad, toString(id(o)) AS s, toInteger(true) AS t, coalesce(null, o.o_orderstatus) AS c, valueType(o.o_totalprice) AS v", "SELECT o_orderkey AS id, 3::BIGINT AS i, 2.5::DOUBLE AS f, TRUE AS b, NULL::BIGINT AS bad, o_orderkey::VARCHAR AS s, 1::BIGINT AS t, o_orderstatus AS c, 'FLOAT' AS v FROM orders")
@@ -353,6 +354,28 @@ def ttl_nodes(spark, sf_dir):
     return decay.expire_nodes(ev, F.col("ts").cast("timestamp"), 10 * 86400, F.lit("2024-01-30").cast("timestamp")).select("id", "kind")
 
 
+@registered("SELECT event_id AS id, CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN props END AS props, true AS anchored FROM events")
+def ttl_subtree(spark, sf_dir):
+    ev = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "props")
+    left, _ = decay.reap(ev, {}, "ts", 10 * 86400, F.lit("2024-01-30").cast("timestamp"), "subtree", "props")
+    return left.select("id", "props", F.col("ts").isNotNull().alias("anchored"))
+
+
+@registered("SELECT event_id AS id, CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN epoch_us(ts) END AS at FROM events")
+def ttl_field(spark, sf_dir):
+    ev = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    left, _ = decay.reap(ev, {}, "ts", 10 * 86400, F.lit("2024-01-30").cast("timestamp"), "field")
+    return left.select("id", F.unix_micros("ts").alias("at"))
+
+
+@registered("SELECT user_id AS src, event_id AS dst FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+def ttl_edges(spark, sf_dir):
+    """The edges left when events expire with theirs."""
+    ev = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    raised = ev.select(F.col("user_id").alias("src"), F.col("id").alias("dst"))
+    return decay.reap(ev, {"RAISED": (raised, False, True)}, "ts", 10 * 86400, F.lit("2024-01-30").cast("timestamp"))[1]["RAISED"]
+
+
 def _people(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("long").alias("nation"))
 

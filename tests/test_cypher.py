@@ -91,6 +91,7 @@ VALUES = [
     ("{a: {b: 5}}.a.b", 5), ("unknownFunction(1)", None), ("keys({b: 1, a: 2})", ["a", "b"]),
     ("vector_distance([0, 3], [4, 0])", 5.0), ("vector_similarity([0, 0], [1, 1])", 0.0), ("vector_dot([1, 2], [3, 4])", 11.0), ("vector_manhattan([1, 2], [3, 5])", 5.0), ("vector_dot([1], [1, 2])", None),
     ("maxsim_score([[1, 0], [0, 1], [0.5, 0.5]], [[1, 0], [0, 1]])", 2.0),
+    ("normalize('e\u0301')", "\u00e9"), ("normalize('\u00e9', 'nfd')", "e\u0301"), ("normalize('\ufb01', 'NFKC')", "fi"), ("normalize('\ufb01', 'NFKD')", "fi"), ("normalize('a', 'x')", None), ("normalize(5)", None), ("normalize('e\u0301', 5)", "\u00e9"),
 ]
 
 

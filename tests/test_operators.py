@@ -115,6 +115,25 @@ def test_decay(spark):
     assert [tuple(r) for r in got] == [(1.0, 1.0, 1.0, 1.0), (0.5, 0.5, 0.5, 0.5), (0.0, 0.25, pytest.approx(1 / 3), 0.0), (None, None, None, None)]
 
 
+def test_reaping_by_scope(spark):
+    """Expired: before the cutoff, not at it; rows without an anchor stay."""
+    at = lambda d: datetime(2024, 1, d)
+    n = spark.createDataFrame([(1, at(1), "a"), (2, at(5), "b"), (3, None, "c"), (4, at(9), None)], "id long, at timestamp, doc string")
+    e = spark.createDataFrame([(1, 2), (2, 4), (4, 1)], "src long, dst long")
+    now, day = F.lit("2024-01-10").cast("timestamp"), 86400
+    ids = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=str)
+    nodes, edges = decay.reap(n, {"E": (e, True, True)}, "at", 5 * day, now)
+    assert ids(nodes, "id") == [(2,), (3,), (4,)] and ids(edges["E"], "src", "dst") == [(2, 4)]
+    nodes, edges = decay.reap(n, {"E": (e, True, True)}, "at", 5 * day, now, "field")
+    assert ids(nodes.where("at IS NULL"), "id") == [(1,), (3,)] and edges["E"].count() == 3
+    nodes, _ = decay.reap(n, {}, "at", 5 * day, now, "subtree", "doc")
+    assert ids(nodes, "id", "doc") == [(1, None), (2, "b"), (3, "c"), (4, None)] and nodes.where("at IS NULL").count() == 1
+    assert ids(decay.reap(nodes, {}, "at", 5 * day, now, "subtree", "doc")[0], "id", "doc") == ids(nodes, "id", "doc")
+    assert decay.reap(n, {}, "at", 5 * day, now, "subtree", "other")[0].columns == n.columns
+    with pytest.raises(ValueError):
+        decay.reap(n, {}, "at", day, now, "label")
+
+
 def test_writes(spark):
     nodes = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, "c", "y")], "id long, name string, p string")
     edges = spark.createDataFrame([(1, 2, "e"), (2, 3, None), (3, 1, "g")], "src long, dst long, w string")
