@@ -129,6 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end: int = 1, capacity: int = 2048,
     whole = cutted.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("row") + F.lit(WHOLE), "offset": F.lit(0).cast("long")}).drop("row")
 
     def fill(group: pa.Table) -> pa.Table:
+        tokens.emptied()
         group = group.sort_by("row")
         sizes = group.column("length").to_numpy()
         seq, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)

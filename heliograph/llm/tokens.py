@@ -186,6 +186,13 @@ def loaded(path: str, spaced: bool) -> ChunkTokenizer:
     return _loaded[path, spaced]
 
 
+def emptied() -> None:
+    """Frees what this worker keeps from tokenizing, for a stage that needs none of it; the tokenizers stay."""
+    for t in _loaded.values():
+        if len(t.index):
+            t._reset()
+
+
 def text_slices(texts: pa.Array, most_bytes: int = 12_000_000):
     """(from, to) of runs of texts that hold about most_bytes together."""
     begin = size = 0
