@@ -18,6 +18,7 @@ from ..functions.scalar import SCALAR, active_at, element_id, overlaps
 from ..operators import text as text_search
 from ..operators.traverse import edge_key, shortest_path, var_length
 from ..plans.catalog import GraphCatalog
+from ..plans.joins import FEW, counted, side
 from .parser import AsOf, Call, Command, CypherError, Match, Node, Path, Procedure, Projection, Query, Rel, Unwind, Write, parse
 
 FUSIONS = {"rrf_score", "cc_score", "dbsf_score", "doc_score"}
@@ -253,6 +254,8 @@ class Compiler:
             return name
         right, v = self.scan(n, name)
         right = self.props(right, env, v, name, n.props)
+        if r.hops and counted(right) > FEW:
+            right = side(right, False)
         same = env.df[target] == right[name]
         env.df = env.df.join(right, same & self.labelled(right, name, "__dl") if declared else same).drop(target, "__dl")
         env.vars[name] = v

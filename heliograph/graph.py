@@ -33,7 +33,7 @@ class Graph:
         self.catalog = catalog
 
     def query(self, text: str, strict_numbers: bool = False, **params) -> DataFrame:
-        """Rows of a read query, of EXPLAIN [SUGGEST] or SHOW. Execution, with its first job, starts at the caller's action."""
+        """Rows of a read query, of EXPLAIN [SUGGEST] or SHOW. Execution, with its first job, starts at the caller's action, but for many-hop traversal."""
         if m := EXPLAIN.match(text):
             plan = self.explain(text[m.end() :], bool(m[1]), **params)
             return self.catalog.spark.createDataFrame([(i, x) for i, x in enumerate(plan.split("\n"))], "line int, plan string").coalesce(1).orderBy("line")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import FEW, counted, side
 from ..plans.lineage import cut
 
 MAX_HOPS = 10
@@ -35,10 +36,16 @@ def _agree(a: Column, b: Column) -> Column:
     return (a == b) | (a == "") | (b == "")
 
 
-def _step(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each row with the edges that leave its __cur of label __curl: to __d of label __dl, by __k and __r."""
+def _sides(left: DataFrame, right: DataFrame, few_left: bool, few_right: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an inner join, the left one copied to all executors if only it has few rows."""
+    return (side(left, True), right) if few_left and not few_right else (left, side(right, few_right))
+
+
+def _step(rows: DataFrame, edges: DataFrame, few: bool, few_rows: bool = False) -> DataFrame:
+    """Each row with the edges that leave its __cur of label __curl: to __d of label __dl, by __k and __r. few: of edges; few_rows: of rows."""
     rel = F.struct(F.col("__type").alias("type"), F.col("__a").alias("source"), F.col("__b").alias("target"))
     e = edges.select(F.col("src").alias("__s"), _declared(edges, "__sl").alias("__from_label"), F.col("dst").alias("__d"), _declared(edges, "__dl").alias("__dl"), edge_key().alias("__k"), rel.alias("__r"))
+    rows, e = _sides(rows, e, few_rows, few)
     return rows.join(e, (rows["__cur"] == e["__s"]) & _agree(rows["__curl"], e["__from_label"])).drop("__s", "__from_label")
 
 
@@ -53,8 +60,9 @@ def var_length(rows: DataFrame, start: str, edges: DataFrame, low: int, high: in
         return _reachable(rows, start, edges, low, high, target)
     state = rows.withColumns({"__cur": F.col(start), "__curl": label_of(rows, start), "__trail": F.array().cast("array<bigint>"), "__nodes": F.array(F.col(start)), "__rels": F.array().cast(RELS)})
     found = [state] if low == 0 else []
+    few = counted(edges) <= FEW
     for hop in range(1, high + 1):
-        state = _step(state, edges).where(~F.array_contains("__trail", F.col("__k")))
+        state = _step(state, edges, few).where(~F.array_contains("__trail", F.col("__k")))
         state = state.withColumns({"__cur": F.col("__d"), "__curl": F.col("__dl"), "__trail": F.array_append("__trail", F.col("__k")), "__nodes": F.array_append("__nodes", F.col("__d")), "__rels": F.array_append("__rels", F.col("__r"))}).drop("__d", "__dl", "__k", "__r")
         if high > 3:  # the next level and the result both read this one
             state = cut(state)
@@ -106,10 +114,12 @@ def shortest_path(rows: DataFrame, start: str, end: str, edges: DataFrame, path:
     """
     ends = ["__from", "__fl", "__end", "__el"]
     named = rows.withColumns({"__rfl": label_of(rows, start), "__rel": label_of(rows, end)})
-    pairs = named.select(F.col(start).alias("__from"), F.col("__rfl").alias("__fl"), F.col(end).alias("__end"), F.col("__rel").alias("__el")).where("__from is not null and __end is not null").distinct()
+    pairs = cut(named.select(F.col(start).alias("__from"), F.col("__rfl").alias("__fl"), F.col(end).alias("__end"), F.col("__rel").alias("__el")).where("__from is not null and __end is not null").distinct())
+    size = visited = counted(pairs)
+    few, few_pairs = counted(edges) <= FEW, size <= FEW
     front = pairs.select("__from", "__fl").distinct().withColumns({"__cur": F.col("__from"), "__curl": F.col("__fl"), "__nodes": F.array("__from"), "__rels": F.array().cast(RELS)})
     seen = front.select("__from", "__fl", "__cur", "__curl")
-    wanted = pairs.select(F.col("__from").alias("__f"), F.col("__fl").alias("__g"), "__end", "__el")
+    wanted = side(pairs.select(F.col("__from").alias("__f"), F.col("__fl").alias("__g"), "__end", "__el"), few_pairs)
 
     def hit(f: DataFrame) -> DataFrame:
         met = f.join(wanted, (F.col("__from") == F.col("__f")) & (F.col("__fl") == F.col("__g")) & (F.col("__cur") == F.col("__end")) & _agree(F.col("__curl"), F.col("__el")))
@@ -118,15 +128,16 @@ def shortest_path(rows: DataFrame, start: str, end: str, edges: DataFrame, path:
 
     found = cut(hit(front))
     for _ in range(min(high, MAX_HOPS)):
-        left = pairs.join(found, ends, "left_anti").select("__from", "__fl").distinct()
-        step = _step(front.join(left, ["__from", "__fl"], "left_semi"), edges)
+        left = pairs.join(side(found, few_pairs), ends, "left_anti").select("__from", "__fl").distinct()
+        step = _step(front.join(side(left, few_pairs), ["__from", "__fl"], "left_semi"), edges, few, size <= FEW)
         step = step.select("__from", "__fl", F.col("__d").alias("__cur"), F.col("__dl").alias("__curl"), F.array_append("__nodes", F.col("__d")).alias("__nodes"), F.array_append("__rels", F.col("__r")).alias("__rels"))
         keys = ["__from", "__fl", "__cur", "__curl"]
-        step = step.join(seen, keys, "left_anti")
+        step = step.join(side(seen, visited <= FEW), keys, "left_anti")
         front = cut(step.groupBy(keys).agg(F.min(F.struct("__nodes", "__rels")).alias("x")).select(*keys, "x.*"))
-        if front.isEmpty():
+        size = counted(front)
+        if not size:
             break
-        seen = seen.unionByName(front.select(keys))
-        found = cut(found.unionByName(hit(front).join(found, ends, "left_anti")))
+        seen, visited = seen.unionByName(front.select(keys)), visited + size
+        found = cut(found.unionByName(hit(front).join(side(found, few_pairs), ends, "left_anti")))
     on = (F.col(start) == F.col("__from")) & (F.col("__rfl") == F.col("__fl")) & (F.col(end) == F.col("__end")) & (F.col("__rel") == F.col("__el"))
-    return named.join(found, on, "left").drop(*ends, "__rfl", "__rel")
+    return named.join(side(found, few_pairs), on, "left").drop(*ends, "__rfl", "__rel")

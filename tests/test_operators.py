@@ -4,9 +4,11 @@ import random
 from datetime import datetime
 
 import pytest
-from heliograph.operators import decay, fusion, mutate, spatial, text, timeseries
+from heliograph.graph import Graph
+from heliograph.operators import decay, fusion, mutate, spatial, text, timeseries, traverse
 from heliograph.operators.traverse import MAX_HOPS, shortest_path, var_length
 from heliograph.plans.catalog import GraphCatalog
+from heliograph.plans.joins import FEW
 from heliograph.sources import dumps
 from heliograph.streaming import changes
 from pyspark.sql import functions as F
@@ -59,6 +61,31 @@ def test_shortest_against_search(spark, random_graph):
             assert got[a, b] == dist.get(b)
 
 
+MANY = 2 * FEW
+
+
+@pytest.fixture
+def tree(spark, monkeypatch):
+    """A tree of MANY parts, each under the part of half its id, and the plans of all frames that a traversal keeps."""
+    g = GraphCatalog(spark)
+    g.node("P", spark.range(1, MANY).withColumn("odd", F.col("id") % 2))
+    g.edge("UP", spark.range(2, MANY).select(F.col("id").alias("src"), F.expr("id div 2").alias("dst")), "src", "dst", "P", "P")
+    plans, cut = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: (plans.append(plan_of(df)), cut(df))[1])
+    return Graph(g), plans
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shortest_path_copies_no_large_table(spark, tree):
+    g, plans = tree
+    df = g.query("MATCH (a:P)-[:UP*1..2]->(b:P) MATCH p = shortestPath((a)-[:UP*..2]-(b)) RETURN id(a) AS a, id(b) AS b, length(p) AS hops")
+    assert len(plans) > 3 and not [x for x in [*plans, plan_of(df)] if "Broadcast" in x]
+    assert rows(df) == sorted((a, a >> h, h) for a in range(1, MANY) for h in (1, 2) if a >> h)
+
+
 def test_text_queries(spark):
     docs = spark.createDataFrame([(1, "Rust graph database"), (2, "Python machine learning"), (3, "Rust web framework graph"), (4, None)], "id long, text string")
     ids = lambda q, **k: {r["id"] for r in text.search(docs, q, **k).collect()}
