@@ -84,24 +84,29 @@ def var_length(rows: DataFrame, start: str, edges: DataFrame, low: int, high: in
 
 def _reachable(rows: DataFrame, start: str, edges: DataFrame, low: int, high: int, target: str) -> DataFrame:
     keys = ["__from", "__fl", "__cur", "__curl"]
-    seeds = rows.select(F.col(start).alias("__from"), label_of(rows, start).alias("__fl")).distinct()
+    seeds = cut(rows.select(F.col(start).alias("__from"), label_of(rows, start).alias("__fl")).distinct())
     pairs = edges.select("src", "dst", _declared(edges, "__sl").alias("__sl"), _declared(edges, "__dl").alias("__to_label")).distinct()
+    few = counted(edges) <= FEW
     front = seeds.withColumns({"__cur": F.col("__from"), "__curl": F.col("__fl")})
     seen = front.withColumn("__hop", F.lit(0))
+    size = visited = counted(seeds)
     # The start itself counts as reached again only by a cycle, which the first visit must not hide.
     back = None
     for hop in range(1, high + 1):
-        step = front.join(pairs, (front["__cur"] == pairs["src"]) & _agree(front["__curl"], pairs["__sl"])).select("__from", "__fl", F.col("dst").alias("__cur"), F.col("__to_label").alias("__curl")).distinct()
+        at, to = _sides(front, pairs, size <= FEW, few)
+        step = at.join(to, (at["__cur"] == to["src"]) & _agree(at["__curl"], to["__sl"])).select("__from", "__fl", F.col("dst").alias("__cur"), F.col("__to_label").alias("__curl")).distinct()
         closed = step.where((F.col("__from") == F.col("__cur")) & _agree(F.col("__fl"), F.col("__curl")))
         back = closed if back is None else back.union(closed)
-        front = cut(step.join(seen, keys, "left_anti"))
-        if front.isEmpty():
+        front = cut(step.join(side(seen, visited <= FEW), keys, "left_anti"))
+        size = counted(front)
+        if not size:
             break
-        seen = seen.unionByName(front.withColumn("__hop", F.lit(hop)))
+        seen, visited = seen.unionByName(front.withColumn("__hop", F.lit(hop))), visited + size
     reached = seen.where(F.col("__hop") >= low).select(keys)
     if low > 0 and back is not None:
         reached = reached.union(back).distinct()
     ends = reached.select("__from", "__fl", F.col("__cur").alias(target), F.nullif("__curl", F.lit("")).alias("__dl"))
+    ends = side(ends, visited <= FEW)  # those come back to are no more than the starts
     named = rows.withColumn("__start_label", label_of(rows, start))
     return named.join(ends, (named[start] == ends["__from"]) & (named["__start_label"] == ends["__fl"])).drop("__from", "__fl", "__start_label")
 

@@ -86,6 +86,22 @@ def test_shortest_path_copies_no_large_table(spark, tree):
     assert rows(df) == sorted((a, a >> h, h) for a in range(1, MANY) for h in (1, 2) if a >> h)
 
 
+@pytest.mark.parametrize(
+    "query,want",
+    [
+        ("MATCH (p:P)-[:UP*2..4]->(q:P) RETURN id(p) AS p, id(q) AS q", [(p, p >> h) for p in range(1, MANY) for h in (2, 3, 4) if p >> h]),
+        ("MATCH (p:P {odd: 1})-[:UP*1..3]->(q:P) RETURN count(DISTINCT q) AS n", [(MANY // 2 - 1,)]),
+        ("MATCH p = (a:P)-[:UP*1..2]->(b:P) RETURN id(a) AS a, length(p) AS hops", [(a, h) for a in range(1, MANY) for h in (1, 2) if a >> h]),
+        ("MATCH (p:P) WHERE EXISTS { (p)<-[:UP*1..2]-(q:P) } RETURN id(p) AS p", [(p,) for p in range(1, MANY // 2)]),
+    ],
+)
+def test_many_hops_copy_no_large_table(tree, query, want):
+    g, plans = tree
+    df = g.query(query)
+    assert not [x for x in [*plans, plan_of(df)] if "Broadcast" in x]
+    assert rows(df) == sorted(want)
+
+
 def test_text_queries(spark):
     docs = spark.createDataFrame([(1, "Rust graph database"), (2, "Python machine learning"), (3, "Rust web framework graph"), (4, None)], "id long, text string")
     ids = lambda q, **k: {r["id"] for r in text.search(docs, q, **k).collect()}
